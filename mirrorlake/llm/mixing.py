@@ -17,7 +17,7 @@ weight, so there are at most len(weights) + 1 pools and the pattern table is bou
 that and the weights, whatever the data.
 
 Defined results: each input row is scheduled exactly once, however often it repeats; rows
-with equal id are ordered by all their columns; null ids come first; a pool without rows
+with equal id are ordered by a hash of all their columns; null ids come first; a pool without rows
 has no share; an empty table gives an empty schedule. Columns named like outputs are replaced.
 """
 
@@ -92,13 +92,14 @@ def schedule(
         F.struct(*docs.columns).alias("_row") if docs.columns else F.struct(F.lit(None)).alias("_row"),
         pool_no.alias("_pool"),
         F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("")).alias("_key"),
+        (F.xxhash64(*docs.columns) if docs.columns else F.lit(0)).alias("_tie"),
     ).withColumn("_bucket", F.substring("_key", 1, digits))
     # ranks: inside a bucket by window, plus what the buckets before it hold
     sizes = dealt.groupBy("_pool", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.selectExpr("_pool", "_bucket", "sum(_n) OVER (PARTITION BY _pool ORDER BY _bucket) - _n AS _before")
     per_pool = sizes.groupBy("_pool").agg(F.ceil(F.sum("_n") / block_docs).cast("long").alias("_blocks"))
     ranked = (
-        dealt.selectExpr("*", "row_number() OVER (PARTITION BY _pool, _bucket ORDER BY _key, to_json(_row)) - 1 AS _local")
+        dealt.selectExpr("*", "row_number() OVER (PARTITION BY _pool, _bucket ORDER BY _key, _tie) - 1 AS _local")
         .join(before, ["_pool", "_bucket"])
         .withColumn("_rank", F.col("_local") + F.col("_before"))
         .withColumn("_block", F.floor(F.col("_rank") / block_docs))
