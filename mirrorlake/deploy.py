@@ -11,6 +11,13 @@ from pyspark.sql import SparkSession
 _ROOT = Path(__file__).resolve().parent
 
 
+def checkpoint_ready(spark: SparkSession) -> None:
+    """Name a checkpoint folder where the session has none (tests on one machine)."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="mirrorlake-"))
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Add the package to the Python path of the session's executors, once for each Spark context."""
     context = spark.sparkContext

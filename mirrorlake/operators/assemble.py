@@ -31,8 +31,8 @@ def grammar_errors(frames: DataFrame, *, source: str = "source_id", order: str =
     w = Window.partitionBy(source).orderBy(order)
     seen = frames.withColumn("_before", F.lag(action).over(w)).withColumn("_open", F.lag(xid).over(w))
     start = F.col(action) == "B"
-    inside = F.col("_before").isin("B", "I", "U", "D")
-    bad = (start & inside) | (~start & ~F.coalesce(inside, F.lit(False))) | (~start & (F.col("_open") != F.col(xid))) | ~F.col(action).isin("B", "I", "U", "D", "C")
+    inside = F.coalesce(F.col("_before").isin("B", "I", "U", "D"), F.lit(False))
+    bad = (start & inside) | (~start & ~inside) | (~start & (F.col("_open") != F.col(xid))) | ~F.col(action).isin("B", "I", "U", "D", "C")
     return seen.where(F.coalesce(bad, F.lit(True))).select(*frames.columns)
 
 

@@ -86,7 +86,7 @@ def embed(rows: DataFrame, column: str, files: DataFrame, *, max_bytes: int = 16
     path = F.ltrim(F.translate(F.col(column), "\\", "/"))
     found = rows.withColumn("_want", F.when(F.col(column).isNull(), None).otherwise(path)).join(content, F.col("_want") == F.col("_path"), "left")
     bad = F.col("_want").isNotNull() & (F.col("_content").isNull() | ~safe_path(F.col("_want")) | (F.octet_length("_content") > max_bytes))
-    data = F.when(bad, F.raise_error(F.lit("file of a path column is missing, unsafe or too large"))).otherwise(F.base64("_content"))
+    data = F.when(bad, F.raise_error(F.lit("file of a path column is missing, unsafe or too large"))).otherwise(F.translate(F.base64("_content"), "\r\n", ""))
     return found.select(
         *[c for c in rows.columns if c != column], F.when(F.col("_want").isNotNull(), data).alias(column), F.col(column).alias(f"{column}__source"),
         F.when(F.col("_want").isNotNull(), "base64").alias(f"{column}__encoding"),

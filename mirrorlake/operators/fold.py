@@ -13,15 +13,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mirrorlake.deploy import checkpoint_ready
+
 
 def fold(changes: DataFrame, keys: list[str], columns: list[str], order: str = "seq") -> DataFrame:
-    """One row a key: keys, ``deleted``, ``fresh`` (the row began with an insert), each column and its ``__set`` flag."""
+    """A change to a deleted row, before the next insert, has no effect (see ``unmatched`` to refuse it).
+
+    One row a key: keys, ``deleted``, ``fresh`` (the row began with an insert), each column and its ``__set`` flag."""
     reset = F.col("op").isin("insert", "read", "delete")
     o = F.col(order)
     aggs: list[Column] = [
         F.max(F.when(reset, o)).alias("_reset"),
         F.max_by("op", F.when(reset, o)).alias("_reset_op"),
-        F.max_by("op", o).alias("_last"),
         F.max(o).alias("last_order"),
     ]
     for c in columns:
@@ -33,7 +36,7 @@ def fold(changes: DataFrame, keys: list[str], columns: list[str], order: str = "
     for c in columns:
         live = F.col(f"_{c}_at").isNotNull() & (F.col("_reset").isNull() | (F.col(f"_{c}_at") >= F.col("_reset")))
         picks += [F.when(live, F.col(f"_{c}.v")).alias(c), live.alias(f"{c}__set")]
-    return out.select(*keys, (F.col("_last") == "delete").alias("deleted"), fresh.alias("fresh"), "last_order", *picks)
+    return out.select(*keys, F.coalesce(F.col("_reset_op") == "delete", F.lit(False)).alias("deleted"), fresh.alias("fresh"), "last_order", *picks)
 
 
 def apply_fold(base: DataFrame, folded: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -72,6 +75,7 @@ def lineage(changes: DataFrame, order: str = "seq", old: str = "old_key", new: s
     edges = changes.where(F.col(old).isNotNull() & ~F.col(old).eqNullSafe(F.col(new)))
     touched = edges.select(F.col(old).alias("k")).union(edges.select(F.col(new).alias("k"))).distinct()
     labels = touched.withColumn("label", F.col("k"))
+    checkpoint_ready(changes.sparkSession)
     while True:
         spread = (
             edges.select(F.col(old).alias("a"), F.col(new).alias("b")).union(edges.select(F.col(new).alias("a"), F.col(old).alias("b")))
