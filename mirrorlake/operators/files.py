@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +45,14 @@ def safe_path(path: Column) -> Column:
 def scan_directory(spark, root: str, *, include: list[str] = (), exclude: list[str] = (), max_bytes: int = 1 << 30) -> DataFrame:
     """path (below root), size, mod_time, sha256 and content of the files; one beyond the limit fails the job."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = F.lit(root.split("://", 1)[-1].rstrip("/") + "/")
-    path = F.substring_index(F.regexp_replace("path", "^[a-z]+:/*", "/"), prefix, -1)
+    fs, base = pafs.FileSystem.from_uri(root if "://" in root else "file://" + root)  # the reader leaves out empty files
+    none = [(i.path, i.mtime, 0, b"") for i in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if i.type == pafs.FileType.File and i.size == 0]
+    files = files.select("path", "modificationTime", "length", "content").unionByName(
+        spark.createDataFrame(none, "path string, modificationTime timestamp, length long, content binary")
+    )
+    prefix = root.split("://", 1)[-1].rstrip("/") + "/"
+    plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
+    path = F.substr(plain, F.instr(plain, prefix) + len(prefix))
     sized = F.when(F.col("length") > max_bytes, F.raise_error(F.lit("file is too large"))).otherwise(F.col("length"))
     return files.select(path.alias("path"), sized.alias("size"), F.col("modificationTime").alias("mod_time"), F.sha2("content", 256).alias("sha256"), "content").where(
         included(F.col("path"), list(include), list(exclude))

@@ -10,8 +10,10 @@ so a key with very many changes costs one partial row a task.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mirrorlake.deploy import checkpoint_ready
 
@@ -89,22 +91,21 @@ def lineage(changes: DataFrame, order: str = "seq", old: str = "old_key", new: s
     meets = F.coalesce(F.col(old), F.col(new))
     todo = changes.select(F.col(order).alias("o"), "op", meets.alias("was"), F.col(new).alias("now")).join(labels.withColumnsRenamed({"k": "was"}), "was", "left")
     alone = todo.where("label IS NULL").select("o", F.col("was").alias("root"))
-    key_type = changes.schema[new].dataType.simpleString()
-
-    def walk(pdf):
-        at: dict = {}
-        roots = []
-        for op, was, now in pdf.sort_values("o")[["op", "was", "now"]].itertuples(index=False):
-            root = at.get(was, was)
-            roots.append(root)
-            if op == "delete":
-                at.pop(was, None)
-            elif was != now:
-                at.pop(was, None)
-                at[now] = root
-        out = pdf.sort_values("o")[["o"]].copy()
-        out["root"] = roots
-        return out
-
-    walked = todo.where("label IS NOT NULL").groupBy("label").applyInPandas(walk, f"o {changes.schema[order].dataType.simpleString()}, root {key_type}")
+    schema = T.StructType([T.StructField("o", changes.schema[order].dataType), T.StructField("root", changes.schema[new].dataType)])
+
+    def walk(batches):
+        label, at = None, {}
+        for batch in batches:
+            roots = []
+            for set_, op, was, now in zip(*[batch.column(c).to_pylist() for c in ("label", "op", "was", "now")], strict=True):
+                if set_ != label:
+                    label, at = set_, {}
+                root = at.pop(was, was)
+                roots.append(root)
+                if op != "delete" and (root != now):
+                    at[now] = root
+            yield pa.RecordBatch.from_arrays([batch.column("o"), pa.array(roots, batch.schema.field("was").type)], ["o", "root"])
+
+    connected = todo.where("label IS NOT NULL").repartition("label").sortWithinPartitions("label", "o")
+    walked = connected.mapInArrow(walk, schema)
     return alone.unionByName(walked).withColumnsRenamed({"o": order})
