@@ -184,7 +184,7 @@ def records(f, size: int, gz: bool, wanted, payloads: bool) -> Iterator[tuple[di
         fields = _fields(h)
         payload = None
         if wanted(fields):
-            if payloads:
+            if payloads and fields["record_type"] != "revisit":
                 if gz:
                     block = inflate()[start : start + n]
                 else:
