@@ -28,6 +28,7 @@ if no row of the component has an id); an empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -117,14 +118,7 @@ def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
 
 
 def _ball(bits: int, t: int) -> int:
-    return sum(len(list(itertools.combinations(range(bits), d))) if d < 2 else _choose(bits, d) for d in range(t + 1))
-
-
-def _choose(n: int, k: int) -> int:
-    out = 1
-    for i in range(k):
-        out = out * (n - i) // (i + 1)
-    return out
+    return sum(math.comb(bits, d) for d in range(t + 1))
 
 
 def plan(n: int, both: np.ndarray, radius: int = RADIUS) -> tuple[list[list[int]], list[int]]:
@@ -169,7 +163,7 @@ def _value(fps: np.ndarray, group: list[int]) -> np.ndarray:
 
 
 def _entries(fps: DataFrame, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """(part, value, fp, probe): every fingerprint under its own values, and under those within a threshold above 0."""
+    """(part, value, fp): every fingerprint under its own values, and under those within a threshold above 0."""
 
     def run(batches):
         for batch in batches:
@@ -181,17 +175,10 @@ def _entries(fps: DataFrame, groups: list[list[int]], thresholds: list[int]) ->
                 for d in range(t + 1):
                     for flip in itertools.combinations(range(len(group)), d):
                         mask = np.uint64(sum(1 << f for f in flip))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(len(fp), part, np.int32)),
-                                pa.array((own ^ mask).view(np.int64)),
-                                batch.column(0),
-                                pa.array(np.full(len(fp), d > 0)),
-                            ],
-                            ["part", "value", "fp", "probe"],
-                        )
+                        values = pa.array((own ^ mask).view(np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), part, np.int32)), values, batch.column(0)], ["part", "value", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "part int, value long, fp long, probe boolean")
+    return fps.select("fp").mapInArrow(run, "part int, value long, fp long")
 
 
 class _Union:
@@ -214,13 +201,24 @@ class _Union:
         return True
 
 
-def _links(left: np.ndarray, right: np.ndarray, radius: int):
-    """Pairs (i, j) of near fingerprints, in slabs of bounded size."""
-    slab = max(1, (1 << 20) // max(1, len(right)))
-    for i in range(0, len(left), slab):
-        near = np.bitwise_count(left[i : i + slab, None] ^ right[None]) <= radius
-        a, b = np.nonzero(near)
-        yield a + i, b
+def _links(u: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Pairs whose transitive closure is that of all near pairs among ``u``, of bounded length: no more than a few a row."""
+    if len(u) < 8:
+        return [(x, y) for x, y in itertools.combinations(u.tolist(), 2) if (x ^ y).bit_count() <= radius]
+    near = np.bitwise_count(u[:, None] ^ u[None]) <= radius
+    if near.sum() <= 8 * len(u):
+        a, b = np.nonzero(np.triu(near, 1))
+    else:  # a dense group: every row with the first of its component
+        b = np.arange(len(u))
+        while True:
+            least = np.where(near, b[None], len(u)).min(1)
+            least = np.minimum(b, least[least])
+            if (least == b).all():
+                break
+            b = least
+        a = np.flatnonzero(b != np.arange(len(u)))
+        b = b[a]
+    return list(zip(u[a].tolist(), u[b].tolist(), strict=True))
 
 
 def node_of(fp: np.ndarray) -> np.ndarray:
@@ -233,7 +231,10 @@ def node_of(fp: np.ndarray) -> np.ndarray:
 
 
 def _verify(entries: DataFrame, radius: int) -> DataFrame:
-    """Rows sorted by group in; a spanning forest (a, b) of the near pairs of each task out."""
+    """Rows sorted by group in; a spanning forest (a, b) of the near pairs of each task out.
+
+    A group is the holders of one partition value, at most a block of them, or two blocks.
+    """
 
     def run(batches):
         forest, out = _Union(), []
@@ -241,22 +242,16 @@ def _verify(entries: DataFrame, radius: int) -> DataFrame:
         def close(rows):
             if len(rows) < 2:
                 return
-            fp, probe, side = rows["fp"], rows["probe"], rows["side"]
-            sides = [(np.flatnonzero(~probe), np.arange(len(rows)))]
-            if rows["split"][0]:  # two blocks of a large group: pairs across
-                sides = [(np.flatnonzero(~probe & (side == k)), np.flatnonzero(side != k)) for k in (0, 1)]
-            for i, j in sides:
-                for a, b in _links(fp[i], fp[j], radius) if len(i) and len(j) else ():
-                    for x, y in zip(fp[i][a].tolist(), fp[j][b].tolist(), strict=True):
-                        if x != y and forest.join(x, y):
-                            out.append((x, y))
+            for x, y in _links(np.unique(rows["fp"]), radius):  # one group, or two blocks of a large one
+                if forest.join(x, y):
+                    out.append((x, y))
 
         def emit():
             pairs = node_of(np.array(out, np.uint64).reshape(-1, 2).ravel()).reshape(-1, 2)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-        kind = [("part", np.int32), ("value", np.int64), ("lo", np.int32), ("hi", np.int32), ("fp", np.uint64), ("probe", bool), ("side", np.int32), ("split", bool)]
+        kind = [("part", np.int32), ("value", np.int64), ("lo", np.int32), ("hi", np.int32), ("fp", np.uint64)]
         rest = np.empty(0, kind)
         for batch in batches:
             rows = np.empty(batch.num_rows, kind)
@@ -296,12 +291,8 @@ def near_links(fps: DataFrame, *, radius: int = RADIUS, block: int = BLOCK) -> D
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "part", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "probe",
-            F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
-            (F.col("own") != F.col("other")).alias("split"),
-        )
-    )
+        .select("part", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
+    )
     keys = ["part", "value", "lo", "hi"]
     return _verify(dealt.repartition(*keys).sortWithinPartitions(*keys), radius)
 
