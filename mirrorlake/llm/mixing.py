@@ -17,7 +17,7 @@ weight, so there are at most len(weights) + 1 pools and the pattern table is bou
 that and the weights, whatever the data.
 
 Defined results: each input row is scheduled exactly once, however often it repeats; rows
-with equal id are ordered by a hash of all their columns; null ids come first; a pool without rows
+with equal id are ordered by a hash of all their columns; null ids are placed by that hash; a pool without rows
 has no share; an empty table gives an empty schedule. Columns named like outputs are replaced.
 """
 
@@ -76,7 +76,6 @@ def schedule(
     """
     if any(w < 1 for w in [*weights.values(), rest_weight]):
         raise ValueError("weights are positive integers")
-    spark = docs.sparkSession
     docs = without(docs, *OUT)
     pools = [*sorted(weights), REST]
     table = {p: (i, weights.get(p, rest_weight)) for i, p in enumerate(pools)}
@@ -88,11 +87,12 @@ def schedule(
 
     total = docs.select(F.count(F.lit(1))).first()[0]
     digits = min(8, max(2, math.ceil(math.log(max(1, total / BUCKET_ROWS), 16))))
+    tie = F.xxhash64(*docs.columns)
     dealt = docs.select(
-        F.struct(*docs.columns).alias("_row") if docs.columns else F.struct(F.lit(None)).alias("_row"),
+        F.struct(*docs.columns).alias("_row"),
         pool_no.alias("_pool"),
-        F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("")).alias("_key"),
-        (F.xxhash64(*docs.columns) if docs.columns else F.lit(0)).alias("_tie"),
+        F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.md5(tie.cast("string").cast("binary"))).alias("_key"),
+        tie.alias("_tie"),
     ).withColumn("_bucket", F.substring("_key", 1, digits))
     # ranks: inside a bucket by window, plus what the buckets before it hold
     sizes = dealt.groupBy("_pool", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -131,8 +131,7 @@ def schedule(
         .drop("n", "a", "starts")
         .join(F.broadcast(patterns), ["from", "_pool", "_j"])  # at most (2 pools + 1) x sum of weights rows
     )
-    out = placed.select(
+    return placed.select(
         "_row.*", F.element_at(names, F.col("_pool") + 1).alias("pool"), F.col("_block").alias("block"),
         (F.col("_base") + F.col("at")).alias("slot"), (F.col("_rank") % block_docs).cast("int").alias("in_block"),
     )
-    return out if docs.columns else spark.createDataFrame([], out.schema)
