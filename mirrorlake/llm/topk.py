@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mirrorlake.llm.common import saved
+from mirrorlake.llm.common import new_dir, saved
 
 BUCKET = 2048
 #: Cosine threshold from which a bucket is pruned by coordinates.
@@ -150,7 +150,7 @@ def top_k(rows: DataFrame, *, queries: Column, k: int = 5, id_col: str = "vec_id
     blocks = max(1, -(-n // query_block))
     seed = ranged.orderBy(F.desc("norm"), F.asc("vec_id")).limit(SEED_VECTORS).toArrow()
     seed_ids, seed_p, seed_norms = seed["vec_id"].to_numpy(), _matrix(seed["v"]), seed["norm"].to_numpy()
-    found = None
+    found, folder = None, new_dir(spark, "found")
     for b in range(blocks):
         mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b)
         block = mine.select("vec_id", "v").toArrow()
@@ -179,7 +179,12 @@ def top_k(rows: DataFrame, *, queries: Column, k: int = 5, id_col: str = "vec_id
             )
 
         part = ranged.mapInArrow(run, "query long, query_id long, best array<struct<score: long, vec_id: long>>")
-        found = part if found is None else found.unionByName(part)
+        if blocks == 1:
+            found = part
+        else:  # a job for each block; the plan doesn't grow with their number
+            part.write.mode("append").parquet(folder)
+    if found is None:
+        found = spark.read.schema("query long, query_id long, best array<struct<score: long, vec_id: long>>").parquet(folder)
     # (query, query_id): a row of at most k pairs from each task
     merged = found.groupBy("query", "query_id").agg(F.flatten(F.collect_list("best")).alias("all"))
     ordered = F.array_sort(
