@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,8 +45,6 @@ def mask_changed(mask_hex: Column, ordinal: Column) -> Column:
 
 def ieee_text(hex_text: Column) -> Column:
     """Shortest decimal text of IEEE bytes in hex, 4 or 8 of them. Arrow-batched: no built-in reads IEEE bytes."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(values: pd.Series) -> pd.Series:
         import struct
