@@ -20,6 +20,11 @@ Components: rounds that contract every node into its smallest neighbour under a
 random order, with pointer jumping, until the links left are few enough (checked)
 for one task. Nothing is collected on the driver.
 
+``similar`` serves a similarity of shingle sets instead of a radius of few bits. Pairs at Jaccard 0.8
+differ in 15 % of the bits, beyond any radius that can be probed, so it takes 640 bits, groups them into
+partitions with threshold zero, as many as a stated recall needs, and verifies on all bits, which tell
+the similarity to 0.035 (standard error). Blocks, forest and components are shared.
+
 Defined results: repeated documents are one fingerprint and link to each other;
 rows with null doc_id take part and get the component of their fingerprint (null
 if no row of the component has an id); an empty table gives an empty result.
@@ -47,6 +52,12 @@ BLOCK = 512
 #: Links that one task may finish.
 FEW_LINKS = 12_000
 _ONE = np.uint64(1)
+#: ``similar``: words of a shingle, Jaccard similarity, share of pairs at that similarity that meet in a band,
+#: and share of bits that a pair may differ in beyond what is expected at that similarity.
+SIMILAR_SHINGLE, SIMILARITY, RECALL, SLACK = 5, 0.8, 0.95, 0.02
+#: 64-bit words of a wide fingerprint; its fingerprints in one block; rows of a group compared row by row.
+WORDS, WIDE_BLOCK, SMALL = 10, 1024, 32
+_ODD = np.random.default_rng(42).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes | None, k: int = SHINGLE) -> int:
@@ -201,23 +212,26 @@ class _Union:
         return True
 
 
+def _thinned(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs with the transitive closure of a symmetric matrix: the matrix if sparse, else a star for each component."""
+    if near.sum() <= 8 * len(near):
+        return np.nonzero(np.triu(near, 1))
+    b = np.arange(len(near))
+    while True:
+        least = np.where(near, b[None], len(near)).min(1)
+        least = np.minimum(b, least[least])
+        if (least == b).all():
+            break
+        b = least
+    a = np.flatnonzero(b != np.arange(len(near)))
+    return a, b[a]
+
+
 def _links(u: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Pairs whose transitive closure is that of all near pairs among ``u``, of bounded length: no more than a few a row."""
     if len(u) < 8:
         return [(x, y) for x, y in itertools.combinations(u.tolist(), 2) if (x ^ y).bit_count() <= radius]
-    near = np.bitwise_count(u[:, None] ^ u[None]) <= radius
-    if near.sum() <= 8 * len(u):
-        a, b = np.nonzero(np.triu(near, 1))
-    else:  # a dense group: every row with the first of its component
-        b = np.arange(len(u))
-        while True:
-            least = np.where(near, b[None], len(u)).min(1)
-            least = np.minimum(b, least[least])
-            if (least == b).all():
-                break
-            b = least
-        a = np.flatnonzero(b != np.arange(len(u)))
-        b = b[a]
+    a, b = _thinned(np.bitwise_count(u[:, None] ^ u[None]) <= radius)
     return list(zip(u[a].tolist(), u[b].tolist(), strict=True))
 
 
@@ -277,22 +291,30 @@ def _verify(entries: DataFrame, radius: int) -> DataFrame:
     return entries.mapInArrow(run, "a long, b long")
 
 
+def _large(entries: DataFrame, block: int) -> DataFrame:
+    """Partition values held by more than a block, at most one row for each ``block`` entries, with the number of blocks."""
+    many = entries.groupBy("part", "value").count().where(F.col("count") > block)
+    return many.select("part", "value", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+
+
+def _dealt(entries: DataFrame, large: DataFrame, by: str) -> DataFrame:
+    """Entries with the pair of blocks (lo, hi) they meet in: one pair for most, all pairs of their own block for large values."""
+    kept = [c for c in entries.columns if c not in ("part", "value")]
+    return (
+        entries.join(large, ["part", "value"], "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("own", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("part", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *kept)
+    )
+
+
 def near_links(fps: DataFrame, *, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between ``node_of`` distinct fingerprints ``fp``; transitively, all pairs within ``radius``."""
     n, both = co_occurrence(fps)
     groups, thresholds = plan(n, both, radius)
     entries = _entries(fps, groups, thresholds)
-    large = (
-        entries.groupBy("part", "value").count().where(F.col("count") > block)
-        .select("part", "value", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    )  # at most one row for each `block` entries
-    dealt = (
-        entries.join(large, ["part", "value"], "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("part", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
-    )
+    dealt = _dealt(entries, _large(entries, block), "fp")
     keys = ["part", "value", "lo", "hi"]
     return _verify(dealt.repartition(*keys).sortWithinPartitions(*keys), radius)
 
@@ -357,19 +379,165 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     least_type = distinct.schema["least"].dataType
     named = distinct.mapInArrow(nodes, T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("least", least_type)]))
+    return _named_components(fps, named, found, id_col)
+
+
+def _named_components(fps: DataFrame, named: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     rooted = saved(named.join(found, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Input columns of one document of each component, that with the smallest id.
+# ---- a given similarity of shingle sets ---------------------------------------------
+
+
+def differing(similarity: float) -> float:
+    """Expected share of differing bits of two sets of equal size with this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_fingerprint(text: bytes | None, k: int = SIMILAR_SHINGLE) -> bytes:
+    """``WORDS`` words of 64 bits over the set of shingles, derived from one XXH64 each."""
+    words = (text or b"").lower().split()
+    if not words:
+        return bytes(8 * WORDS)
+    k = min(k, len(words))
+    digest = xxhash.xxh64_intdigest
+    base = np.unique(np.fromiter((digest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)), np.uint64, len(words) - k + 1))
+    ones = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(base), 255):  # a byte holds the sum of 255 bits
+        x = base[i : i + 255, None] * _ODD
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(base), bitorder="little").tobytes()
+
+
+def bands(n: int, similarity: float, recall: float) -> list[np.ndarray]:
+    """Bits of each band: wide enough for few chance candidates among ``n``, as many bands as ``recall`` at ``similarity`` needs.
+
+    Beyond the bits there are, bands reuse them in another order.
+    """
+    width = max(16, math.ceil(math.log2(max(n, 2))) - 6)
+    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** width))
+    rng, found = np.random.default_rng(42), []
+    while len(found) < count:
+        order = rng.permutation(64 * WORDS)
+        found += [order[i : i + width] for i in range(0, len(order) - width + 1, width)]
+    return found[:count]
+
+
+def _wide(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(v.as_py() for v in column), np.uint64).reshape(-1, WORDS)
+
+
+def _wide_entries(distinct: DataFrame, chosen: list[np.ndarray], *, whole: bool) -> DataFrame:
+    """(part, value) of every band, with node and fp if ``whole``."""
+
+    def run(batches):
+        for batch in batches:
+            bits = np.unpackbits(_wide(batch.column(1)).view(np.uint8), axis=1, bitorder="little")
+            for part, band in enumerate(chosen):
+                value = bits[:, band].astype(np.int64) @ (np.int64(1) << np.arange(len(band), dtype=np.int64))
+                key = [pa.array(np.full(len(value), part, np.int32)), pa.array(value)]
+                names = ["part", "value", "node", "fp"]
+                yield pa.RecordBatch.from_arrays([*key, *batch.columns], names) if whole else pa.RecordBatch.from_arrays(key, names[:2])
+
+    return distinct.select("node", "fp").mapInArrow(run, "part int, value long" + (", node long, fp binary" if whole else ""))
+
+
+def _near_matrix(fp: np.ndarray, most: int) -> np.ndarray:
+    near = np.empty((len(fp), len(fp)), bool)
+    for i in range(0, len(fp), 128):
+        apart = np.zeros((len(fp[i : i + 128]), len(fp)), np.uint16)
+        for w in range(WORDS):
+            apart += np.bitwise_count(fp[i : i + 128, w, None] ^ fp[None, :, w])
+        near[i : i + 128] = apart <= most
+    return near
+
+
+def _verify_wide(dealt: DataFrame, most: int) -> DataFrame:
+    """As ``_verify``, for wide fingerprints: a spanning forest (a, b) of nodes for each task."""
+
+    def run(batches):
+        forest = _Union()
+        keys, nodes, fps = np.empty((0, 4), np.int64), np.empty(0, np.int64), np.empty((0, WORDS), np.uint64)
+
+        def near(keys, nodes, fps):
+            """Whole groups in; links that the forest hasn't got."""
+            first = np.ones(len(keys), bool)
+            first[1:] = (keys[1:] != keys[:-1]).any(1)
+            group = np.cumsum(first)
+            size = np.bincount(group)[group]
+            pairs = []
+            for cut in np.flatnonzero(first & (size > SMALL)):
+                at = slice(cut, cut + size[cut])
+                a, b = _thinned(_near_matrix(fps[at], most))
+                pairs += zip(nodes[at][a].tolist(), nodes[at][b].tolist(), strict=True)
+            at = np.flatnonzero((size > 1) & (size <= SMALL))
+            group, fps, nodes = group[at], fps[at], nodes[at]
+            for lag in range(1, min(SMALL, len(at))):
+                a = np.flatnonzero(group[lag:] == group[:-lag])
+                if not len(a):
+                    break
+                a = a[np.bitwise_count(fps[a] ^ fps[a + lag]).sum(1, dtype=np.int64) <= most]
+                pairs += zip(nodes[a].tolist(), nodes[a + lag].tolist(), strict=True)
+            return [p for p in pairs if forest.join(*p)]
+
+        def batch_of(pairs):
+            pairs = np.array(pairs, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("part", "value", "lo", "hi")], axis=1)
+            keys, nodes = np.concatenate([keys, new]), np.concatenate([nodes, batch.column("node").to_numpy()])
+            fps = np.concatenate([fps, _wide(batch.column("fp"))])
+            last = int(np.flatnonzero((keys != keys[-1]).any(1))[-1]) + 1 if (keys != keys[-1]).any() else 0
+            if last:
+                yield batch_of(near(keys[:last], nodes[:last], fps[:last]))
+                keys, nodes, fps = keys[last:].copy(), nodes[last:].copy(), fps[last:].copy()
+        yield batch_of(near(keys, nodes, fps))
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def similar_links(distinct: DataFrame, *, similarity: float, slack: float = SLACK, recall: float = RECALL, block: int = WIDE_BLOCK) -> DataFrame:
+    """Links (a, b) between nodes whose wide fingerprints speak for ``similarity``: differing share up to the expected one plus ``slack``."""
+    chosen = bands(distinct.count(), similarity, recall)
+    most = int((differing(similarity) + slack) * 64 * WORDS)
+    large = saved(_large(_wide_entries(distinct, chosen, whole=False), block), "large")
+    dealt = _dealt(_wide_entries(distinct, chosen, whole=True), large, "node")
+    keys = ["part", "value", "lo", "hi"]
+    return _verify_wide(dealt.repartition(*keys).sortWithinPartitions(*keys), most)
+
+
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, **options) -> DataFrame:
+    """id, fp (binary) and component_id, as ``near_duplicates``, by similarity of shingle sets."""
+
+    def run(batches):
+        for batch in batches:
+            found = [wide_fingerprint(t, k) for t in binary_values(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], [id_col, "fp"])
+
+    docs = docs.select(id_col, text_col)
+    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.BinaryType())])
+    fps = saved(docs.mapInArrow(run, schema), "fingerprints")
+    # XXH64 of one long is one-to-one: nodes in random order
+    named = saved(fps.groupBy("fp").agg(F.min(id_col).alias("least")).withColumn("node", F.xxhash64(F.monotonically_increasing_id())), "distinct")
+    return _named_components(fps, named, components(similar_links(named, similarity=similarity, **options)), id_col)
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, **options) -> DataFrame:
+    """Input columns of one document of each component, that with the smallest id. ``find`` is near_duplicates or similar.
 
     Rows that repeat the kept id are reduced to one; a component without any id keeps nothing
     to name it by and is left whole.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    found = saved(find(docs, id_col=id_col, text_col=text_col, **options), "found")
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     repeated = saved(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col), "repeated")

@@ -264,6 +264,52 @@ def test_near_links_equal_brute_force(spark, block, n):
     assert len(set(zip(label.tolist(), got, strict=True))) == len(set(label.tolist())) == len(set(got))
 
 
+def shingle_set(text, k=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(len(words) - k, 0) + 1)}
+
+
+def test_similar(spark, odd, empty):
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(5000)}"
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(r.randrange(60, 400))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 4, 8, 30):
+            copy = list(base)
+            for at in r.sample(range(len(base)), edits):
+                copy[at] = word()
+            texts.append("  ".join(copy).upper())
+    centre = [word() for _ in range(300)]
+    for _ in range(150):  # a large group of near copies: one component in any blocks
+        copy = list(centre)
+        copy[r.randrange(300)] = word()
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingle_set(t) for t in texts]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(360) for j in range(i + 1, (i // 6 + 1) * 6)}
+    for block in (simhash.WIDE_BLOCK, 40):
+        of = {x.doc_id: x.component_id for x in simhash.similar(docs, block=block).collect()}
+        near = [p for p, s in alike.items() if s >= 0.8]
+        assert len(near) > 60 and sum(of[i] == of[j] for i, j in near) >= 0.9 * len(near)
+        assert all(of[i] == of[j] for (i, j), s in alike.items() if s >= 0.88)
+        assert not any(of[i] == of[j] for (i, j), s in alike.items() if i % 6 == 0 and s < 0.6)
+        assert {of[i] for i in range(360, 510)} == {360} and all(of[i] // 6 == i // 6 for i in range(360))
+    by = {x.doc_id: x for x in simhash.similar(odd).collect()}
+    assert by[2].component_id == by[3].component_id == by[4].component_id == 2 and by[2].fp == bytes(8 * simhash.WORDS) and by[1].component_id == 1
+    assert simhash.similar(empty).count() == 0
+    kept = simhash.keep_one(odd, find=simhash.similar)
+    assert kept.columns == odd.columns and sorted(x.doc_id for x in kept.where("doc_id IS NOT NULL").collect()) == [1, 2, 5, 6, 8]
+
+
+def test_bands():
+    for n in (0, 1000, 10**7, 10**10):
+        found = simhash.bands(n, 0.8, 0.95)
+        p = (1 - simhash.differing(0.8)) ** len(found[0])
+        assert 1 - (1 - p) ** len(found) >= 0.95 and all(len(set(b)) == len(b) for b in found)
+
+
 def test_plan_is_a_general_pigeonhole():
     r = np.random.default_rng(1)
     for n in (10, 10_000, 10**9):
