@@ -20,10 +20,13 @@ Components: rounds that contract every node into its smallest neighbour under a
 random order, with pointer jumping, until the links left are few enough (checked)
 for one task. Nothing is collected on the driver.
 
-``similar`` serves a similarity of shingle sets instead of a radius of few bits. Pairs at Jaccard 0.8
-differ in 15 % of the bits, beyond any radius that can be probed, so it takes 640 bits, groups them into
-partitions with threshold zero, as many as a stated recall needs, and verifies on all bits, which tell
-the similarity to 0.035 (standard error). Blocks, forest and components are shared.
+``similar`` serves a similarity of shingle sets instead of a radius of few bits, and is exact. Distinct sets of
+shingle hashes are joined by prefix: with the shingles of every set in one order, two sets at Jaccard t or more
+share one among the first n - ceil(t n) + 1 of each. The order is rare first by a sketch of counts, which
+bears on the cost only. Pairs that meet there, fit in size and differ in no more bits of a parity bitmap than the
+similarity allows (a bound that loses none) are decided by the Jaccard similarity of their sets. The first
+members of each list are compared with all others; in a longer list, only members that aren't in one component
+by then are compared in pairs of blocks. Components are shared.
 
 Defined results: repeated documents are one fingerprint and link to each other;
 rows with null doc_id take part and get the component of their fingerprint (null
@@ -38,7 +41,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,12 +55,13 @@ BLOCK = 512
 #: Links that one task may finish.
 FEW_LINKS = 12_000
 _ONE = np.uint64(1)
-#: ``similar``: words of a shingle, Jaccard similarity, share of pairs at that similarity that meet in a band,
-#: and share of bits that a pair may differ in beyond what is expected at that similarity.
-SIMILAR_SHINGLE, SIMILARITY, RECALL, SLACK = 5, 0.8, 0.95, 0.02
-#: 64-bit words of a wide fingerprint; its fingerprints in one block; rows of a group compared row by row.
-WORDS, WIDE_BLOCK, SMALL = 10, 1024, 32
-_ODD = np.random.default_rng(42).integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: ``similar``: words of a shingle, Jaccard similarity.
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: 64-bit words of a parity bitmap; its bitmaps in one block; members of a list that are compared with all others.
+WORDS, WIDE_BLOCK, CENTRES = 10, 1024, 8
+#: Counters of the sketch that orders shingles; nodes whose texts are found by broadcast (by shuffle beyond).
+SLOTS, FEW_NODES = 1 << 20, 200_000
+_EPS = 1e-9
 
 
 def fingerprint(text: bytes | None, k: int = SHINGLE) -> int:
@@ -382,11 +386,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return _named_components(fps, named, found, id_col)
 
 
-def _named_components(fps: DataFrame, named: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    rooted = saved(named.join(found, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "rooted")
+def _named_components(fps: DataFrame, named: DataFrame, found: DataFrame, id_col: str, on: str = "fp") -> DataFrame:
+    rooted = saved(named.join(found, "node", "left").select(on, "least", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    by_fp = rooted.join(least, "root").select(on, "component_id")
+    return fps.join(by_fp, on).select(id_col, "fp", "component_id")
 
 
 # ---- a given similarity of shingle sets ---------------------------------------------
@@ -397,26 +401,40 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_fingerprint(text: bytes | None, k: int = SIMILAR_SHINGLE) -> bytes:
-    """``WORDS`` words of 64 bits over the set of shingles, derived from one XXH64 each."""
+def shingle_set(text: bytes | None, k: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Distinct XXH64 hashes of the shingles, sorted."""
     words = (text or b"").lower().split()
     if not words:
-        return bytes(8 * WORDS)
+        return np.empty(0, np.uint64)
     k = min(k, len(words))
-    digest = xxhash.xxh64_intdigest
-    base = np.unique(np.fromiter((digest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)), np.uint64, len(words) - k + 1))
-    ones = np.zeros(64 * WORDS, np.int64)
-    for i in range(0, len(base), 255):  # a byte holds the sum of 255 bits
-        x = base[i : i + 255, None] * _ODD
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(base), bitorder="little").tobytes()
+    digest, n = xxhash.xxh64_intdigest, len(words) - k + 1
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + k]), 42) for i in range(n)), np.uint64, n))
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """``WORDS`` words of bits, each the parity of the shingles that fall on it: two differ in no more bits than their sets in shingles."""
+    at = ((shingles >> np.uint64(20)) % np.uint64(64 * WORDS)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * WORDS) & 1, bitorder="little").tobytes()
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles, rare first, of which any set at ``similarity`` has one among its own."""
+    n = len(shingles)
+    order = np.lexsort((shingles, counts[_slot(shingles)]))
+    return shingles[order[: n - math.ceil(similarity * n - _EPS) + 1]]
+
+
+def _may(n: np.ndarray, m: np.ndarray, apart: np.ndarray, similarity: float) -> np.ndarray:
+    """If sets of ``n`` and ``m`` shingles whose bitmaps differ in ``apart`` bits can be at ``similarity``."""
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - _EPS) & (apart <= (1 - similarity) / (1 + similarity) * (n + m) + _EPS)
 
 
 def bands(n: int, similarity: float, recall: float) -> list[np.ndarray]:
-    """Bits of each band: wide enough for few chance candidates among ``n``, as many bands as ``recall`` at ``similarity`` needs.
+    """Bits of each band of an approximate search (``similar`` is exact and needs none): wide enough for few chance candidates among ``n``, as many bands as ``recall`` at ``similarity`` needs.
 
     Beyond the bits there are, bands reuse them in another order.
     """
@@ -433,102 +451,171 @@ def _wide(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(v.as_py() for v in column), np.uint64).reshape(-1, WORDS)
 
 
-def _wide_entries(distinct: DataFrame, chosen: list[np.ndarray], *, whole: bool) -> DataFrame:
-    """(part, value) of every band, with node and fp if ``whole``."""
+def _shingle_counts(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
+    """How many shingles of the documents fall on each counter."""
+
+    def add(total, batch):
+        sets = [shingle_set(t, k) for t in binary_values(batch.column(0))]
+        total += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS)
+
+    got = per_task_vector(docs.select(text_col), SLOTS, add)
+    return np.zeros(SLOTS, np.uint32) if got is None else np.minimum(got, 2**32 - 1).astype(np.uint32)
+
+
+def _prefix_entries(named: DataFrame) -> DataFrame:
+    """(value, node): every set under the shingles of its prefix."""
 
     def run(batches):
         for batch in batches:
-            bits = np.unpackbits(_wide(batch.column(1)).view(np.uint8), axis=1, bitorder="little")
-            for part, band in enumerate(chosen):
-                value = bits[:, band].astype(np.int64) @ (np.int64(1) << np.arange(len(band), dtype=np.int64))
-                key = [pa.array(np.full(len(value), part, np.int32)), pa.array(value)]
-                names = ["part", "value", "node", "fp"]
-                yield pa.RecordBatch.from_arrays([*key, *batch.columns], names) if whole else pa.RecordBatch.from_arrays(key, names[:2])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                values = [np.frombuffer(v.as_py(), np.int64) for v in part.column(1)]
+                nodes = np.repeat(part.column(0).to_numpy(), [len(v) for v in values])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(nodes)], ["value", "node"])
 
-    return distinct.select("node", "fp").mapInArrow(run, "part int, value long" + (", node long, fp binary" if whole else ""))
+    return named.select("node", "prefix").mapInArrow(run, "value long, node long")
 
 
-def _near_matrix(fp: np.ndarray, most: int) -> np.ndarray:
-    near = np.empty((len(fp), len(fp)), bool)
-    for i in range(0, len(fp), 128):
-        apart = np.zeros((len(fp[i : i + 128]), len(fp)), np.uint16)
-        for w in range(WORDS):
-            apart += np.bitwise_count(fp[i : i + 128, w, None] ^ fp[None, :, w])
-        near[i : i + 128] = apart <= most
-    return near
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _verify_wide(dealt: DataFrame, most: int) -> DataFrame:
-    """As ``_verify``, for wide fingerprints: a spanning forest (a, b) of nodes for each task."""
+def _first_pairs(members: DataFrame, similarity: float, centres: int) -> DataFrame:
+    """Members (value, node, n, fp) sorted by value and node in; pairs (a, b) of the first ``centres`` of each list with all others, where they may be similar."""
 
     def run(batches):
-        forest = _Union()
-        keys, nodes, fps = np.empty((0, 4), np.int64), np.empty(0, np.int64), np.empty((0, WORDS), np.uint64)
-
-        def near(keys, nodes, fps):
-            """Whole groups in; links that the forest hasn't got."""
-            first = np.ones(len(keys), bool)
-            first[1:] = (keys[1:] != keys[:-1]).any(1)
-            group = np.cumsum(first)
-            size = np.bincount(group)[group]
-            pairs = []
-            for cut in np.flatnonzero(first & (size > SMALL)):
-                at = slice(cut, cut + size[cut])
-                a, b = _thinned(_near_matrix(fps[at], most))
-                pairs += zip(nodes[at][a].tolist(), nodes[at][b].tolist(), strict=True)
-            at = np.flatnonzero((size > 1) & (size <= SMALL))
-            group, fps, nodes = group[at], fps[at], nodes[at]
-            for lag in range(1, min(SMALL, len(at))):
-                a = np.flatnonzero(group[lag:] == group[:-lag])
-                if not len(a):
-                    break
-                a = a[np.bitwise_count(fps[a] ^ fps[a + lag]).sum(1, dtype=np.int64) <= most]
-                pairs += zip(nodes[a].tolist(), nodes[a + lag].tolist(), strict=True)
-            return [p for p in pairs if forest.join(*p)]
-
-        def batch_of(pairs):
-            pairs = np.array(pairs, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        value, node, n, fp = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WORDS), np.uint64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = len(value)  # the first of the list that the last batch ended in
+            value, node, n = (np.concatenate([x, batch.column(c).to_numpy().astype(np.int64)]) for x, c in ((value, "value"), (node, "node"), (n, "n")))
+            fp = np.concatenate([fp, _wide(batch.column("fp"))])
+            start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            own = np.repeat(start, np.diff(np.append(start, len(value))))
+            at = np.arange(len(value))
+            found = []
+            for c in range(centres):
+                y = at[(at - own > c) & (at >= held)]
+                x = own[y] + c
+                good = _may(n[x], n[y], np.bitwise_count(fp[x] ^ fp[y]).sum(1, dtype=np.int64), similarity)
+                found.append((node[x[good]], node[y[good]]))
+            yield _pair_batch(*map(np.concatenate, zip(*found, strict=True)))
+            last = slice(start[-1], start[-1] + centres)
+            value, node, n, fp = value[last].copy(), node[last].copy(), n[last].copy(), fp[last].copy()
+
+    return members.mapInArrow(run, "a long, b long")
+
+
+def _block_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Rows sorted by list and blocks in; pairs (a, b) of different components that may be similar."""
+
+    def run(batches):
+        keys, nodes, fps = np.empty((0, 3), np.int64), np.empty((0, 3), np.int64), np.empty((0, WORDS), np.uint64)
+
+        def pairs(keys, nodes, fps):
+            """Whole lists in."""
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
+            for lo, hi in itertools.pairwise(cuts.tolist()):
+                (node, root, n), fp = nodes[lo:hi].T, fps[lo:hi]
+                for i in range(0, hi - lo, 128):
+                    rows = slice(i, i + 128)
+                    apart = np.zeros((len(node[rows]), hi - lo), np.int64)
+                    for w in range(WORDS):
+                        apart += np.bitwise_count(fp[rows, w, None] ^ fp[None, :, w])
+                    near = _may(n[rows, None], n[None], apart, similarity) & (root[rows, None] != root[None]) & (node[rows, None] < node[None])
+                    a, b = np.nonzero(near)
+                    if len(a):
+                        yield _pair_batch(node[rows][a], node[b])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("part", "value", "lo", "hi")], axis=1)
-            keys, nodes = np.concatenate([keys, new]), np.concatenate([nodes, batch.column("node").to_numpy()])
-            fps = np.concatenate([fps, _wide(batch.column("fp"))])
-            last = int(np.flatnonzero((keys != keys[-1]).any(1))[-1]) + 1 if (keys != keys[-1]).any() else 0
-            if last:
-                yield batch_of(near(keys[:last], nodes[:last], fps[:last]))
-                keys, nodes, fps = keys[last:].copy(), nodes[last:].copy(), fps[last:].copy()
-        yield batch_of(near(keys, nodes, fps))
+            new, more = (np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1) for names in (("value", "lo", "hi"), ("node", "root", "n")))
+            keys, nodes, fps = np.concatenate([keys, new]), np.concatenate([nodes, more]), np.concatenate([fps, _wide(batch.column("fp"))])
+            other = np.flatnonzero((keys != keys[-1]).any(1))
+            if len(other):
+                end = int(other[-1]) + 1
+                yield from pairs(keys[:end], nodes[:end], fps[:end])
+                keys, nodes, fps = keys[end:].copy(), nodes[end:].copy(), fps[end:].copy()
+        if len(keys):
+            yield from pairs(keys, nodes, fps)
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def similar_links(distinct: DataFrame, *, similarity: float, slack: float = SLACK, recall: float = RECALL, block: int = WIDE_BLOCK) -> DataFrame:
-    """Links (a, b) between nodes whose wide fingerprints speak for ``similarity``: differing share up to the expected one plus ``slack``."""
-    chosen = bands(distinct.count(), similarity, recall)
-    most = int((differing(similarity) + slack) * 64 * WORDS)
-    large = saved(_large(_wide_entries(distinct, chosen, whole=False), block), "large")
-    dealt = _dealt(_wide_entries(distinct, chosen, whole=True), large, "node")
-    keys = ["part", "value", "lo", "hi"]
-    return _verify_wide(dealt.repartition(*keys).sortWithinPartitions(*keys), most)
+def _decided(pairs: DataFrame, named: DataFrame, docs: DataFrame, text_col: str, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are at ``similarity``, counted on the sets of their texts."""
+    wanted = saved(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(named.select("node", "source"), "node"), "wanted")
+    texts = docs.select(F.md5(F.col(text_col)).alias("source"), F.col(text_col).alias("text"))
+    one = texts.join(F.broadcast(wanted) if wanted.count() <= FEW_NODES else wanted, "source").select("node", "text").dropDuplicates(["node"])
 
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(t, k).tobytes() for t in binary_values(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
 
-def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, **options) -> DataFrame:
-    """id, fp (binary) and component_id, as ``near_duplicates``, by similarity of shingle sets."""
+    sets = saved(one.mapInArrow(sets, "node long, shingles binary"), "sets")
+    x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
 
-    def run(batches):
+    def decide(batches):
         for batch in batches:
-            found = [wide_fingerprint(t, k) for t in binary_values(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], [id_col, "fp"])
+            good = []
+            for u, v in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
+                u, v = np.frombuffer(u.as_py(), np.uint64), np.frombuffer(v.as_py(), np.uint64)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                good.append(both >= similarity * (len(u) + len(v) - both) - _EPS)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(decide, "a long, b long")
+
+
+def similar_links(named: DataFrame, docs: DataFrame, *, text_col: str, k: int, similarity: float, block: int = WIDE_BLOCK, centres: int = CENTRES) -> DataFrame:
+    """Links (a, b) between nodes; transitively, all pairs whose shingle sets are at ``similarity``, and no others."""
+    by_list = Window.partitionBy("value")
+    listed = saved(_prefix_entries(named).withColumn("members", F.count(F.lit(1)).over(by_list)).where("members > 1"), "lists")
+    size = named.select("node", "n", "fp")
+    members = listed.select("value", "node").join(size, "node").select("value", "node", "n", "fp")
+    first = saved(_first_pairs(members.repartition("value").sortWithinPartitions("value", "node"), similarity, centres).distinct(), "pairs")
+    links = saved(_decided(first, named, docs, text_col, k, similarity), "near")
+    rest = listed.where(F.col("members") > centres + 1)  # the others are compared in full
+    if rest.isEmpty():
+        return links
+    roots = components(links)
+    rest = saved(rest.join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root")), "rest")
+    mixed = rest.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
+    rest = saved(rest.join(mixed, "value", "left_semi").join(size, "node").select(F.lit(0).alias("part"), "value", "node", "root", "n", "fp"), "rest")
+    dealt = _dealt(rest, _large(rest, block), "node")
+    keys = ["value", "lo", "hi"]
+    pairs = _block_pairs(dealt.repartition(*keys).sortWithinPartitions(*keys), similarity).distinct()
+    more = saved(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(_decided(more, named, docs, text_col, k, similarity))
 
+
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, **options) -> DataFrame:
+    """id, fp (the parity bitmap) and component_id, as ``near_duplicates``, by similarity of shingle sets."""
     docs = docs.select(id_col, text_col)
-    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.BinaryType())])
-    fps = saved(docs.mapInArrow(run, schema), "fingerprints")
+    counts = _shingle_counts(docs, text_col, k)
+    names = ["fp", "key", "n", "prefix"]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for t in binary_values(batch.column(1)):
+                s = shingle_set(t, k)
+                rows.append((parity(s), xxhash.xxh3_128_digest(s.tobytes()), len(s), prefix(s, counts, similarity).tobytes()))
+            made = [pa.array([r[i] for r in rows], pa.int32() if i == 2 else pa.binary()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], [id_col, "source", *names])
+
+    kinds = [T.BinaryType(), T.BinaryType(), T.IntegerType(), T.BinaryType()]
+    schema = T.StructType([docs.schema[id_col], T.StructField("source", T.StringType()), *[T.StructField(c, t) for c, t in zip(names, kinds, strict=True)]])
+    fps = saved(docs.withColumn("source", F.md5(F.col(text_col))).mapInArrow(run, schema), "fingerprints")
+    distinct = fps.groupBy("key").agg(F.min(id_col).alias("least"), F.min("source").alias("source"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix")])
     # XXH64 of one long is one-to-one: nodes in random order
-    named = saved(fps.groupBy("fp").agg(F.min(id_col).alias("least")).withColumn("node", F.xxhash64(F.monotonically_increasing_id())), "distinct")
-    return _named_components(fps, named, components(similar_links(named, similarity=similarity, **options)), id_col)
+    named = saved(distinct.withColumn("node", F.xxhash64(F.monotonically_increasing_id())), "distinct")
+    found = components(similar_links(named, docs, text_col=text_col, k=k, similarity=similarity, **options))
+    return _named_components(fps.select(id_col, "fp", "key"), named.select("node", "key", "least"), found, id_col, "key")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, **options) -> DataFrame:

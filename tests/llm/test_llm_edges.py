@@ -303,6 +303,35 @@ def test_similar(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(x.doc_id for x in kept.where("doc_id IS NOT NULL").collect()) == [1, 2, 5, 6, 8]
 
 
+def test_similar_is_exact_on_short_and_long_texts(spark):
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10**9)}"
+    texts = []
+    for words, more in [(8, 1), (8, 2), (9, 1), (10, 1), (16, 3), (16, 4), (2, 1)]:  # shingles against shingles plus some
+        for _ in range(30):
+            base = [word() for _ in range(words)]
+            texts += [" ".join(base), " ".join([*base, *(word() for _ in range(more))])]
+    for cut in (30, 39, 40, 41, 45, 60):
+        for _ in range(20):
+            base = [word() for _ in range(204)]
+            texts += [" ".join(base), " ".join(base[: 204 - cut])]
+    for _ in range(15):  # lists of more members than are compared with all others, not all of them similar
+        base = [word() for _ in range(44)]
+        texts += [" ".join(base), " ".join(base[:36])]
+    line = [word() for _ in range(8)]
+    texts += [" ".join([*line, word()]) for _ in range(40)] + [" ".join([*line, *(word() for _ in range(30))]) for _ in range(40)]
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 and label[i] != label[j]:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({}, {"block": 16, "centres": 1}):
+        of = {x.doc_id: x.component_id for x in simhash.similar(docs, **options).collect()}
+        assert [of[i] for i in range(len(texts))] == label
+
+
 def test_bands():
     for n in (0, 1000, 10**7, 10**10):
         found = simhash.bands(n, 0.8, 0.95)
