@@ -8,9 +8,10 @@ links to a blocked host is suspect). A host is blocked where its distrust exceed
 ``margin`` times its trust.
 
 Edges are links between different hosts, distinct, found in the pages' href attributes;
-relative links stay on their host and make none. The number of steps is fixed, each is one
-join and one sum with partial aggregation, and the scores are written to the shared folder
-every few steps.
+relative links stay on their host and make none. A step is one join and one sum with partial
+aggregation; scores are written to the shared folder every few steps, until between two of
+these no host is new and none changes by more than ``tolerance`` times its score, so that
+hosts however far from a seed get theirs.
 
 Defined results: null url or one without ``://`` has empty host and path; the empty host
 takes no part in the graph and its verdict is ``allow``; null or empty html has no links;
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from mirrorlake.llm.common import saved, without
 
 DAMPING = 0.85
-STEPS = 8
+TOLERANCE = 1e-6
 MARGIN = 1.0
 SAVE_EVERY = 4
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)"""
@@ -82,7 +83,7 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.select("src", host_of(full).alias("dst")).where("src <> dst AND src <> '' AND dst <> ''").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(kind, host, score): personalised PageRank of each kind from ``seeds`` (kind, host, weight) along ``edges`` (kind, src, dst).
 
     Seed weights are scaled to sum 1 in each kind. A host without outgoing edges passes nothing on.
@@ -93,16 +94,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, steps: int = STEPS, damping
     edges = saved(edges.join(degree, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.lit(damping) / F.col("degree")).alias("share")), "edges")
     if edges.isEmpty():
         return base
-    scores, start = base, base.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
-    for step in range(1, steps + 1):
-        moved = scores.join(edges, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score"))
-        scores = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if step % SAVE_EVERY == 0 or step == steps:
-            scores = saved(scores, "rank")
+    start = base.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
+    scores, unsettled = start, True
+    while unsettled:
+        before = scores
+        for _ in range(SAVE_EVERY):
+            moved = scores.join(edges, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score"))
+            scores = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        scores = saved(scores, "rank")
+        old = before.select("kind", "host", F.col("score").alias("old"))
+        change = F.col("score") - F.coalesce("old", F.lit(0.0))  # scores only rise
+        unsettled = not scores.join(old, ["kind", "host"], "left").where(change > tolerance * F.col("score")).isEmpty()
     return scores
 
 
-def judge(pages: DataFrame, rules: list[Rule], *, margin: float = MARGIN, steps: int = STEPS, keep: list[str] | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], *, margin: float = MARGIN, tolerance: float = TOLERANCE, keep: list[str] | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``keep`` columns (all by default) plus host, path, rule, verdict, trust and distrust of the host."""
     ours = ("host", "path", "rule", "verdict", "trust", "distrust")
     pages = without(pages, *ours)
@@ -114,7 +120,7 @@ def judge(pages: DataFrame, rules: list[Rule], *, margin: float = MARGIN, steps:
     )
     links = saved(host_edges(pages, url_col, html_col), "links")
     both = links.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
-    scores = propagate(both, seeds, steps=steps)
+    scores = propagate(both, seeds, tolerance=tolerance)
     by_host = scores.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
     found = ruled.join(by_host, "host", "left").fillna(0.0, ["trust", "distrust"])
     verdict = F.coalesce("ruled", F.when(F.col("distrust") > margin * F.col("trust"), "block").otherwise("allow"))

@@ -365,6 +365,22 @@ def test_url_graph(spark):
     assert urlgraph.judge(pages.limit(0), rules).count() == 0
 
 
+def test_url_graph_settles_on_long_chains(spark):
+    rules = [urlgraph.Rule("block", "h0.org", "/"), urlgraph.Rule("allow", "c0.org", "/")]
+    links = {f"h{i}.org": [f"h{i - 1}.org"] for i in range(1, 14)} | {"h0.org": [], "c0.org": ["c1.org"], "c1.org": ["c2.org", "c0.org"], "c2.org": ["c1.org", "h3.org"]}
+    rows = [(i, f"http://{h}/", "".join(f'<a href="http://{x}/">t</a>' for x in to)) for i, (h, to) in enumerate(links.items())]
+    got = {r.host: r for r in urlgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    hosts = sorted(links)
+    for kind, seed in (("trust", "c0.org"), ("distrust", "h0.org")):
+        edges = [(a, b) if kind == "trust" else (b, a) for a in hosts for b in links[a]]
+        m = np.zeros((len(hosts), len(hosts)))
+        for a, b in edges:
+            m[hosts.index(b), hosts.index(a)] = 0.85 / sum(x == a for x, _ in edges)
+        want = np.linalg.solve(np.eye(len(hosts)) - m, 0.15 * np.array([h == seed for h in hosts]))
+        assert np.allclose([got[h][kind] for h in hosts], want, rtol=1e-5, atol=0)
+    assert all(got[f"h{i}.org"].verdict == "block" for i in range(4, 14))
+
+
 def test_quality(spark, odd, empty):
     r = random.Random(0)
     rows = [(i, " ".join(r.choice(["alpha", "beta", "gamma"]) + ("!!$$" if i % 3 == 0 else "") for _ in range(20)), "en", "s", 1, "") for i in range(600)]
