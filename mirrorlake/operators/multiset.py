@@ -23,6 +23,17 @@ def numbered(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*columns).orderBy(order)))
 
 
+def matched(rows: DataFrame, others: DataFrame, columns: list[str], of: str) -> DataFrame:
+    """Rows with how many of ``others`` equal them in ``columns`` (null equals null), and the least and greatest ``of`` of these.
+
+    ``others`` are reduced to distinct keys first, so a key that very many share, null too, makes no pairs.
+    """
+    keys = others.groupBy(*columns).agg(F.count(F.lit(1)).alias("matches"), F.min(of).alias("least"), F.max(of).alias("greatest"))
+    keys = keys.withColumnsRenamed({c: f"_{c}" for c in columns})
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
+    return rows.join(keys, on).drop(*[f"_{c}" for c in columns])
+
+
 def overdrawn(base: DataFrame, changes: DataFrame, columns: list[str], order: str, sign: str = "sign") -> DataFrame:
     """Removals that find no row at their time."""
     w = Window.partitionBy(*columns).orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)

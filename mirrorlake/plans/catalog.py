@@ -308,6 +308,15 @@ def null_safe_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, a.k.eqNullSafe(b.k2) & (a.o_orderstatus == b.s2)).select("o_orderkey", "other")
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_custkey % 2 = 0 THEN o_custkey END AS k FROM orders)
+SELECT o_orderkey, matches, least, greatest FROM o JOIN (SELECT k AS k2, o_orderstatus AS s2, count(*) AS matches, min(o_orderkey) AS least, max(o_orderkey) AS greatest FROM o GROUP BY 1, 2) b
+ON o.k IS NOT DISTINCT FROM b.k2 AND o.o_orderstatus IS NOT DISTINCT FROM b.s2""")
+def null_safe_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders against all orders: the matches of each, counted."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("k"))
+    return multiset.matched(o, o, ["k", "o_orderstatus"], "o_orderkey").select("o_orderkey", "matches", "least", "greatest")
+
+
 @query("""SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_nationkey >= 10 UNION ALL SELECT c_custkey + 1000000, c_nationkey, 'NEW' FROM customer WHERE c_nationkey < 10 AND c_custkey % 2 = 0""")
 def snapshot_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in the snapshot's scope are replaced by it, the others stay."""

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from mirrorlake.operators import multiset
 from mirrorlake.plans import catalog
 
 DATA = Path("/root/testdata/sf0.001")
@@ -49,3 +50,14 @@ def test_entry_has_rows(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_null_safe_match_takes_every_order(spark, con):
+    assert catalog.QUERIES["null_safe_match_whole"](spark, str(DATA)).count() == con.execute("SELECT count(*) FROM orders").fetchone()[0]
+
+
+def test_matched_counts_the_null_group_without_pairs(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "b")], "id long, k string")
+    others = spark.createDataFrame([(7, None), (8, None), (9, None), (10, "a")], "id long, k string")
+    got = {r.id: (r.matches, r.least, r.greatest) for r in multiset.matched(rows, others, ["k"], "id").collect()}
+    assert got == {1: (3, 7, 9), 2: (3, 7, 9), 3: (1, 10, 10)}
