@@ -134,6 +134,16 @@ def commit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.gate(rows, commits, "l_orderkey", durable=F.col("l_orderkey") <= 9000)
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey * 10 <= (SELECT max(o_orderkey) FROM orders) * 9)""")
+def commit_gate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durable up to nine tenths of the order ids, whatever their number."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    orders = read(spark, sf_dir, "orders")
+    last = orders.agg(F.max("o_orderkey").alias("last"))  # one row
+    commits = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")).join(F.broadcast(last))
+    return assemble.gate(rows, commits, "l_orderkey", durable=F.col("l_orderkey") * 10 <= F.col("last") * 9)
+
+
 _IMAGES_SQL = """(SELECT o_custkey % 50 AS lsn, o_orderkey AS seqval, 4 AS operation, o_orderstatus AS s, o_totalprice AS p FROM orders WHERE o_orderkey % 4 < 2
  UNION ALL SELECT o_custkey % 50, o_orderkey, 3, o_orderpriority, NULL FROM orders WHERE o_orderkey % 4 < 2
  UNION ALL SELECT o_custkey % 50, o_orderkey, o_orderkey % 4 - 1, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 4 >= 2)"""
@@ -271,6 +281,20 @@ def retention_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.evictable(e, delivered=8000, max_bytes=600000, oldest=F.lit("2024-01-08").cast("timestamp_ntz"))
 
 
+@query("""WITH e AS (SELECT 's' || (user_id % 10) AS source_id, event_id AS seq, strlen(props) + 100 AS bytes, ts FROM events),
+d AS (SELECT *, sum(bytes) OVER (PARTITION BY source_id) AS total FROM e WHERE seq * 10 <= (SELECT max(seq) FROM e) * 9),
+r AS (SELECT *, sum(bytes) OVER (PARTITION BY source_id ORDER BY seq DESC) AS b, max(CASE WHEN ts < TIMESTAMP '2024-01-01 12:00:00' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY seq DESC) AS o FROM d)
+SELECT source_id, seq FROM r WHERE b * 2 > total OR o = 1""")
+def retention_eviction_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivered up to nine tenths of the event ids; each of ten sources keeps half of its delivered bytes."""
+    e = read(spark, sf_dir, "events").select(F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")).alias("source_id"), F.col("event_id").alias("seq"), (F.octet_length("props") + 100).alias("bytes"), F.col("ts").alias("created_at"))
+    last = e.agg(F.max("seq").alias("last"))  # one row
+    at = F.floor(F.col("last") * 9 / 10)
+    total = e.join(F.broadcast(last)).where(F.col("seq") <= at).groupBy("source_id").agg((F.sum("bytes") / 2).alias("half"))
+    e = e.join(F.broadcast(last)).join(F.broadcast(total), "source_id")  # a row a source
+    return retention.evictable(e, delivered=at, max_bytes=F.col("half"), oldest=F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))
+
+
 # ---- multisets, snapshots, joins -------------------------------------------------------------
 
 _BAG = "SELECT l_returnflag, l_linestatus, l_quantity, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber END AS n FROM lineitem"

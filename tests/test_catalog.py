@@ -61,3 +61,11 @@ def test_matched_counts_the_null_group_without_pairs(spark):
     others = spark.createDataFrame([(7, None), (8, None), (9, None), (10, "a")], "id long, k string")
     got = {r.id: (r.matches, r.least, r.greatest) for r in multiset.matched(rows, others, ["k"], "id").collect()}
     assert got == {1: (3, 7, 9), 2: (3, 7, 9), 3: (1, 10, 10)}
+
+
+def test_gate_and_eviction_reach_the_end_of_the_log(spark, con):
+    gate = catalog.QUERIES["commit_gate_whole"](spark, str(DATA)).agg({"l_orderkey": "max"}).first()[0]
+    assert 0.8 < gate / con.execute("SELECT max(o_orderkey) FROM orders").fetchone()[0] <= 0.9
+    gone = [r.seq for r in catalog.QUERIES["retention_eviction_whole"](spark, str(DATA)).collect()]
+    last = con.execute("SELECT max(event_id) FROM events").fetchone()[0]
+    assert max(gone) > 0.4 * last and 0.3 * last < len(gone) < 0.9 * last
