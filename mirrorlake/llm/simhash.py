@@ -370,9 +370,12 @@ def components(links: DataFrame, *, few: int = FEW_LINKS) -> DataFrame:
     return mapping.join(last.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """id, fp (signed long) and component_id, the smallest id reachable over links; one row for each input row."""
-    fps = saved(fingerprints(docs.select(id_col, text_col), keep=[id_col], text_col=text_col, k=k), "fingerprints")
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, fp (signed long) and component_id, the smallest id reachable over links; one row for each input row.
+
+    With ``carry``, also those columns and ``root``, which names the component where it has no id.
+    """
+    fps = saved(fingerprints(docs.select(id_col, text_col, *carry), keep=[id_col, *carry], text_col=text_col, k=k), "fingerprints")
     distinct = saved(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     found = components(near_links(distinct, radius=radius))
 
@@ -383,14 +386,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     least_type = distinct.schema["least"].dataType
     named = distinct.mapInArrow(nodes, T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("least", least_type)]))
-    return _named_components(fps, named, found, id_col)
+    return _named_components(fps, named, found, id_col, carry=carry)
 
 
-def _named_components(fps: DataFrame, named: DataFrame, found: DataFrame, id_col: str, on: str = "fp") -> DataFrame:
+def _named_components(fps: DataFrame, named: DataFrame, found: DataFrame, id_col: str, on: str = "fp", carry: tuple[str, ...] = ()) -> DataFrame:
     rooted = saved(named.join(found, "node", "left").select(on, "least", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(least, "root").select(on, "component_id")
-    return fps.join(by_fp, on).select(id_col, "fp", "component_id")
+    by_fp = rooted.join(least, "root").select(on, "component_id", "root")
+    return fps.join(by_fp, on).select(id_col, "fp", "component_id", *carry, *["root"][: len(carry)])
 
 
 # ---- a given similarity of shingle sets ---------------------------------------------
@@ -593,9 +596,9 @@ def similar_links(named: DataFrame, docs: DataFrame, *, text_col: str, k: int, s
     return links.unionByName(_decided(more, named, docs, text_col, k, similarity))
 
 
-def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, **options) -> DataFrame:
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, carry: tuple[str, ...] = (), **options) -> DataFrame:
     """id, fp (the parity bitmap) and component_id, as ``near_duplicates``, by similarity of shingle sets."""
-    docs = docs.select(id_col, text_col)
+    docs = docs.select(id_col, text_col, *carry)
     counts = _shingle_counts(docs, text_col, k)
     names = ["fp", "key", "n", "prefix"]
 
@@ -606,29 +609,33 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 s = shingle_set(t, k)
                 rows.append((parity(s), xxhash.xxh3_128_digest(s.tobytes()), len(s), prefix(s, counts, similarity).tobytes()))
             made = [pa.array([r[i] for r in rows], pa.int32() if i == 2 else pa.binary()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], [id_col, "source", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *made], [id_col, *carry, "source", *names])
 
     kinds = [T.BinaryType(), T.BinaryType(), T.IntegerType(), T.BinaryType()]
-    schema = T.StructType([docs.schema[id_col], T.StructField("source", T.StringType()), *[T.StructField(c, t) for c, t in zip(names, kinds, strict=True)]])
+    schema = T.StructType([*[docs.schema[c] for c in (id_col, *carry)], T.StructField("source", T.StringType()), *[T.StructField(c, t) for c, t in zip(names, kinds, strict=True)]])
     fps = saved(docs.withColumn("source", F.md5(F.col(text_col))).mapInArrow(run, schema), "fingerprints")
     distinct = fps.groupBy("key").agg(F.min(id_col).alias("least"), F.min("source").alias("source"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix")])
     # XXH64 of one long is one-to-one: nodes in random order
     named = saved(distinct.withColumn("node", F.xxhash64(F.monotonically_increasing_id())), "distinct")
     found = components(similar_links(named, docs, text_col=text_col, k=k, similarity=similarity, **options))
-    return _named_components(fps.select(id_col, "fp", "key"), named.select("node", "key", "least"), found, id_col, "key")
+    return _named_components(fps.select(id_col, "fp", "key", *carry), named.select("node", "key", "least"), found, id_col, "key", carry)
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, **options) -> DataFrame:
-    """Input columns of one document of each component, that with the smallest id. ``find`` is near_duplicates or similar.
+    """Input columns of one row of each component: that with the smallest id, then hash of the row. ``find`` is near_duplicates or similar.
 
-    Rows that repeat the kept id are reduced to one; a component without any id keeps nothing
-    to name it by and is left whole.
+    Rows without an id come last, and one stays where no row of the component has an id.
     """
-    found = saved(find(docs, id_col=id_col, text_col=text_col, **options), "found")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    repeated = saved(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
+    columns = docs.columns
+    marked = docs.withColumn("_row", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
+    found = saved(find(marked, id_col=id_col, text_col=text_col, carry=("_row",), **options), "found")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("_id"), F.col("_row"))).alias("best"))
+    rows = found.join(best, "root").select(F.col(id_col).alias("_id"), F.col("_row").alias("_mark"), (F.col(id_col).eqNullSafe(F.col("best._id")) & (F.col("_row") == F.col("best._row"))).alias("kept"))
+    rows = saved(rows.groupBy("_id", "_mark", "kept").count().where("NOT kept OR count > 1"), "rows")
+    same = F.col("_row").eqNullSafe(F.col("_mark")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    left = marked.join(rows.where("NOT kept"), same, "left_anti")
+    repeated = rows.where("kept")
     if repeated.isEmpty():
-        return left
-    once = left.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
-    return left.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+        return left.select(*columns)
+    once = left.join(repeated, same, "left_semi").dropDuplicates([id_col, "_row"])
+    return left.join(repeated, same, "left_anti").select(*columns).unionByName(once.select(*columns))

@@ -332,6 +332,15 @@ def test_similar_is_exact_on_short_and_long_texts(spark):
         assert [of[i] for i in range(len(texts))] == label
 
 
+@pytest.mark.parametrize("find", [simhash.near_duplicates, simhash.similar])
+def test_one_row_of_each_component_stays(spark, find):
+    a, b, c, d = ("alpha one two three four five six", "bravo seven eight nine ten eleven twelve", "charlie red green blue cyan pink grey", "delta north south east west up down")
+    rows = [(5, a), (7, a), (5, b), (2, b), (None, c), (None, c), (9, d), (None, d), (9, d), (5, c + " " + d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs, find=find).collect()), key=str)
+    assert kept == sorted([(5, a), (2, b), (None, c), (9, d), (5, c + " " + d)], key=str)
+
+
 def test_bands():
     for n in (0, 1000, 10**7, 10**10):
         found = simhash.bands(n, 0.8, 0.95)
