@@ -8,6 +8,7 @@ that setting is absent (tests on one machine).
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -50,6 +51,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of tables that are written and done with; else they stay until the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns that clash with the ones an operator adds (any letter case)."""
     low = {n.lower() for n in names}

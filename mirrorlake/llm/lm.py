@@ -1,47 +1,58 @@
 """Language-model scoring by a weighted backoff automaton.
 
-A state is a history of up to ``order - 1`` tokens. For every n-gram ``h w`` of the
-training texts, state ``h`` has an arc ``w``; its weight is the smoothed probability
+A state is a history of up to ``order - 1`` tokens that occurs in the training texts; the root is the empty
+history. For every n-gram ``h w`` of the training texts, state ``h`` has an arc ``w`` to the longest suffix of
+``h w`` that is a state; its weight is the logarithm of the smoothed probability
 
     p(w | h) = (c(h w) + MU p(w | h')) / (c(h) + MU)       h': h without its first token
     p(w)     = (c(w) + 1) / (N + V + 1)
 
-and its failure arc goes to ``h'`` with weight MU / (c(h) + MU), so that an unseen
-``h w`` costs the failure weight times p(w | h'). The probabilities of all tokens after
-a history, and one unknown token, add up to 1. A text is traversed once from left to
-right, from the state of the text start to the end token.
-
-The model is never gathered anywhere. Documents are dealt into chunks by hash; a
-chunk asks for the training counts of its distinct n-grams. The requests, which also
-carry the chunk's own training counts (summed before the shuffle), are dealt by hash of
-the n-gram into buckets of bounded size; a bucket adds the counts up and answers each
-chunk, and the chunk then holds exactly the part of the automaton that its texts
-traverse. Requests and answers are byte-plane encoded blocks, not a row for each n-gram.
-
-Defined results: null text is empty (the end token alone); rows with null id belong to
-the training set unless ``train`` says otherwise; an empty training set gives N = V = 0.
-n-grams are known by 64-bit hashes.
+and its failure arc goes to ``h'`` with weight MU / (c(h) + MU), so that an unseen ``h w`` costs the failure
+weight times p(w | h'). At the root an unknown token costs 1 / (N + V + 1) and leads to the root. The
+probabilities of all tokens after a history, and one unknown token, add up to 1.
+
+A text is traversed from left to right: the state is carried, failure arcs are followed until the token has an
+arc, weights are added up. Texts are traversed abreast, a token each at a time. Long texts are cut into
+stretches; a stretch reads the ``order - 1`` tokens before it from the root without counting them, which leads
+to the state that the whole text before it leads to, since no state remembers more.
+
+The model is never gathered anywhere. Each task encodes its documents into chunks of a few MB of text, which
+are written to the shared folder once. A chunk asks for the training counts of its distinct n-grams and hands in
+its own (summed before the shuffle). Requests are dealt by range of the n-gram's hash into buckets of bounded
+size, as byte planes of sorted differences; a bucket adds the counts up and answers each chunk, which then
+builds the part of the automaton that its texts can traverse. A chunk makes a request for each bucket in which
+it has n-grams, so work follows the number of n-grams.
+
+Defined results: null text is empty (the end token alone); rows where ``train`` is null are not learnt from;
+an empty training set gives N = V = 0 and score 0. Words are known by 64-bit hashes. Longer n-grams are known
+by as many bits as make a mistaken count about 2^-22 likely at any size (64 at most). A text and its chunk must
+fit in a task's memory.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from mirrorlake.llm.common import binary_values, saved
-
-MU = 4.0
-ORDER = 2
-#: Text bytes of a chunk and, about, n-grams of a bucket: what a task holds at once.
-CHUNK_BYTES = 12 << 20
-BUCKET_KEYS = 3 << 20
-#: Least number of chunks and of buckets, for even loads on small inputs.
-LEAST = 64
+from mirrorlake.deploy import ship
+from mirrorlake.llm.common import binary_values, release, saved
+
+#: Chosen by the likelihood of held-out documents of scale 0.1 among orders 2 to 4 and weights 1 to 16.
+MU = 16.0
+ORDER = 3
+#: Text bytes of a chunk, n-grams of a bucket: what a task holds at once. Tokens of a stretch.
+CHUNK_BYTES = 8 << 20
+BUCKET_KEYS = 2 << 20
+STRETCH = 256
+#: Least number of buckets, for even loads on small inputs.
+LEAST = 32
 _START, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -57,14 +68,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Sorted keys as differences, bytes of equal place together: the codec of the shuffle finds the zeros."""
-    x = x.astype("<u8")
-    return np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+# ---- codecs of the shuffle -----------------------------------------------------------
+
+
+def _squeeze(keys: np.ndarray) -> bytes:
+    """Sorted keys: the first one, then differences as byte planes; only the two highest planes can be compressed."""
+    if not len(keys):
+        return b""
+    step = np.diff(keys)
+    width = max(1, (int(step.max()).bit_length() + 7) // 8) if len(step) else 1
+    planes = np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    low = max(0, width - 2)
+    return b"".join((int(keys[0]).to_bytes(8, "little"), bytes([width]), planes[:low].tobytes(), pa.compress(planes[low:].tobytes(), "zstd", asbytes=True)))
 
 
-def _unplanes(b: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+def _unsqueeze(blob: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.empty(0, np.uint64)
+    width, low = blob[8], max(0, blob[8] - 2)
+    cut = 9 + low * (n - 1)
+    raw = blob[9:cut] + pa.decompress(blob[cut:], (width - low) * (n - 1), "zstd", asbytes=True)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[0] = np.frombuffer(blob, np.uint8, 8)
+    wide[1:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n - 1).T
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -78,76 +105,221 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8, offset=1).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
-class Chunk:
-    """Token stream of some texts and the keys of the n-grams in it.
-
-    The stream has, for each text, a start mark, the words and the end token. ``grams[k]`` has
-    for each place of the stream the index, in ``keys``, of the (k+1)-gram that ends there, or -1
-    where it would reach over the start.
-    """
-
-    def __init__(self, texts, training: np.ndarray, order: int):
-        ids: dict[bytes, int] = {}
-        lengths, parts = [], []
-        for text in texts:
-            words = tokens_of(text)
-            row = np.empty(len(words) + 2, np.int32)
-            row[0], row[-1] = 0, 1
-            for w in words:
-                ids.setdefault(w, len(ids) + 2)
-            if words:
-                row[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-            parts.append(row)
-            lengths.append(len(row))
-        self.stream = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        self.lengths = np.array(lengths, np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        hashes = np.empty(len(ids) + 2, np.uint64)
-        hashes[:2] = _START, _END
-        hashes[2:] = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in ids), np.uint64, len(ids))
-        place = np.arange(len(self.stream)) - np.repeat(self.starts, self.lengths)
-        trains = np.repeat(training, self.lengths)
-        key = _mix(hashes)[self.stream]
-        used = np.ones(len(key), bool)  # every token, the start mark too: it is a history
-        all_keys, all_counts, grams = [], [], []
-        base = 0
+# ---- the n-grams of a chunk ------------------------------------------------------------
+
+
+def encode(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token stream of some texts (for each a start mark, the words and the end token), its length for each text, and the hash of each token number."""
+    ids: dict[bytes, int] = {}
+    lengths, parts = [], []
+    for text in texts:
+        words = tokens_of(text)
+        row = np.empty(len(words) + 2, np.int32)
+        row[0], row[-1] = 0, 1
+        if words:
+            row[1:-1] = [ids.setdefault(w, len(ids) + 2) for w in words]
+        parts.append(row)
+        lengths.append(len(row))
+    hashes = np.empty(len(ids) + 2, np.uint64)
+    hashes[:2] = _START, _END
+    hashes[2:] = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in ids), np.uint64, len(ids))
+    return np.concatenate(parts) if parts else np.empty(0, np.int32), np.array(lengths, np.int64), hashes
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the index among them of each key, and a place of each."""
+    by = np.argsort(keys)
+    found = keys[by]
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    back = np.empty(len(found), np.int64)
+    back[by] = np.cumsum(new) - 1
+    return found[new], back, by[new]
+
+
+class Grams:
+    """``keys[k]``: the distinct (k+1)-grams of a chunk, as sorted hashes. ``at[k]`` has for each place of the stream the
+    index of the (k+1)-gram that ends there, -1 where it would reach over the start; ``where[k]`` a place of each."""
+
+    def __init__(self, stream: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, order: int, bits: int):
+        self.stream, self.lengths, self.order = stream, lengths, order
+        self.starts = np.cumsum(lengths) - lengths
+        self.place = np.arange(len(stream)) - np.repeat(self.starts, lengths)
+        self.keys, self.at, self.where = [], [], []
+        key = _mix(hashes)[stream]
         for k in range(order):
             if k:
-                key = np.concatenate([np.zeros(1, np.uint64), _mix(key[:-1] + np.uint64(k)) + hashes[self.stream[1:]]])
-                used = place >= k
-            found, back = np.unique(key[used], return_inverse=True)
-            counts = np.bincount(back, weights=trains[used], minlength=len(found)).astype(np.int64)
-            at = np.full(len(key), -1, np.int64)
-            at[used] = back + base
-            all_keys.append(found)
-            all_counts.append(counts)
-            grams.append(at)
-            base += len(found)
-        self.keys, self.counts, self.grams = np.concatenate(all_keys), np.concatenate(all_counts), grams
-        self.sizes = [len(x) for x in all_keys]
-        self.place = place
-
-    def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the keys by (bucket, n-gram length, key), and the bounds of the buckets in it."""
-        of = (_mix(self.keys ^ np.uint64(0x5BD1E995)) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(of, kind="stable")
-        return order, np.searchsorted(of[order], np.arange(n + 1))
-
-    def score(self, counts: np.ndarray, total: int, distinct: int):
-        """n_tokens, n_known, base_score and score of each text."""
-        grams = self.grams
-        scored = self.place > 0
-        c1 = counts[grams[0]]
-        p = (c1 + 1.0) / (total + distinct + 1.0)
-        base = np.where(scored, np.log10(p), 0.0)
-        for k in range(1, len(grams)):
-            has = self.place >= k
-            history = np.where(has, np.concatenate([[0], grams[k - 1][:-1]]), 0)  # state: the k tokens before
-            seen = np.where(has, counts[np.maximum(grams[k], 0)], 0)
-            p = np.where(has, (seen + MU * p) / (counts[history] + MU), p)
-        logp = np.where(scored, np.log10(p), 0.0)
-        add = lambda x: np.add.reduceat(x, self.starts)
-        return self.lengths - 1, add(scored & (c1 > 0)).astype(np.int64), add(base), add(logp)
+                key = np.concatenate([np.zeros(min(1, len(key)), np.uint64), _mix(key[:-1] + np.uint64(k)) + hashes[stream[1:]]])
+            used = np.flatnonzero(self.place >= k)
+            found, back, where = _distinct(key[used] >> np.uint64(64 - bits if k else 0))
+            at = np.full(len(stream), -1, np.int64)
+            at[used] = back
+            self.keys.append(found)
+            self.at.append(at)
+            self.where.append(used[where])
+
+    def counts(self, training: np.ndarray) -> list[np.ndarray]:
+        """How often each n-gram is in the training texts of the chunk."""
+        weight = np.repeat(training, self.lengths).astype(np.float64)
+        return [np.bincount(at[k:][at[k:] >= 0], weights=weight[k:][at[k:] >= 0], minlength=len(keys)).astype(np.int64) for k, (at, keys) in enumerate(zip(self.at, self.keys, strict=True))]
+
+
+def _cuts(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Where each bucket begins among sorted keys of ``bits`` bits; buckets are ranges of equal width."""
+    edge = [((b << bits) + buckets - 1) // buckets for b in range(buckets)]
+    return np.concatenate([np.searchsorted(keys, np.array(edge, np.uint64)), [len(keys)]])
+
+
+# ---- the automaton ------------------------------------------------------------------------
+
+
+class _Table:
+    """Open-addressed hash table from non-negative longs to their positions in the array given."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.mask = (1 << self.bits) - 1
+        self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            at = slot[left]
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]  # of several, the last stays
+            placed = self.keys[at] == keys[left]
+            self.values[at[placed]] = left[placed]
+            left = left[~placed]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Positions, -1 where there is none."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        found = np.where(there == keys, self.values[slot], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            found[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return found
+
+
+class Automaton:
+    """States, arcs and failure arcs of the n-grams of a chunk that are in the training texts. State 0 is the root."""
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, distinct: int, mu: float):
+        order, self.tokens = grams.order, int(grams.stream.max()) + 1 if len(grams.stream) else 1
+        self.unknown = -np.log10(total + distinct + 1.0)
+        fail, fail_weight = [np.zeros(1, np.int64)], [np.zeros(1)]
+        source, token, weight, target = [], [], [], []
+        state_of, n = [], 1
+        p = None
+        for k in range(order):
+            seen, last = counts[k] > 0, grams.stream[grams.where[k]]
+            if k:
+                suffix, history = grams.at[k - 1][grams.where[k]], grams.at[k - 1][grams.where[k] - 1]
+                p = (counts[k] + mu * p[suffix]) / (counts[k - 1][history] + mu)
+                from_ = state_of[-1][history]
+                shorter = state_of[-1][suffix]
+            else:
+                p = (counts[0] + 1.0) / (total + distinct + 1.0)
+                from_ = shorter = np.zeros(len(seen), np.int64)
+            if k < order - 1:  # a history, unless it is the end
+                states = np.flatnonzero(seen & (last != 1))
+                own = np.zeros(len(seen), np.int64)
+                own[states] = n + np.arange(len(states))
+                n += len(states)
+                state_of.append(own)
+                fail.append(shorter[states])
+                fail_weight.append(np.log10(mu / (counts[k][states] + mu)))
+                leads = np.where(own > 0, own, shorter)
+            else:
+                leads = shorter
+            arcs = np.flatnonzero(seen)
+            for out, x in ((source, from_), (token, last), (weight, np.log10(p)), (target, leads)):
+                out.append(x[arcs])
+        self.fail, self.fail_weight = np.concatenate(fail), np.concatenate(fail_weight)
+        self.weight, self.target = np.concatenate(weight), np.concatenate(target)
+        self.arcs = _Table(np.concatenate(source) * self.tokens + np.concatenate(token))
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From each state with its token: log10 probability and next state."""
+        state, score = state.copy(), np.zeros(len(state))
+        left = np.arange(len(state))
+        while len(left):
+            arc = self.arcs.find(state[left] * self.tokens + token[left])
+            hit = arc >= 0
+            done, arc = left[hit], arc[hit]
+            score[done] += self.weight[arc]
+            state[done] = self.target[arc]
+            left = left[~hit]
+            root = state[left] == 0
+            score[left[root]] += self.unknown
+            left = left[~root]
+            score[left] += self.fail_weight[state[left]]
+            state[left] = self.fail[state[left]]
+        return score, state
+
+    def traverse(self, grams: Grams, stretch: int = STRETCH) -> np.ndarray:
+        """log10 probability of each text."""
+        texts = np.repeat(np.arange(len(grams.lengths)), -(-(grams.lengths - 1) // stretch))
+        first = np.arange(len(texts)) - np.searchsorted(texts, texts)
+        begin = 1 + first * stretch
+        warm = np.maximum(0, begin - (grams.order - 1))
+        length = np.minimum(begin + stretch, grams.lengths[texts]) - warm
+        by = np.argsort(-length, kind="stable")
+        texts, at, ahead, length = texts[by], (grams.starts[texts] + warm)[by], (begin - warm)[by], length[by]
+        state, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for t in range(int(length[0]) if len(length) else 0):
+            n = int(np.searchsorted(-length, -t))  # stretches longer than t
+            found, state[:n] = self.step(state[:n], grams.stream[at[:n] + t])
+            score[:n] += np.where(t >= ahead[:n], found, 0.0)
+        return np.bincount(texts, weights=score, minlength=len(grams.lengths))
+
+
+# ---- the operator ----------------------------------------------------------------------------
+
+_BODY = T.StructType([T.StructField(n, T.LongType()) for n in ("chunk", "tokens")] + [T.StructField(n, T.BinaryType()) for n in ("stream", "lengths", "hashes", "training", "kept")])
+
+
+def _chunks(rows: DataFrame, kept: list[str], chunk_bytes: int) -> DataFrame:
+    """A row for each chunk: some rows of a task, encoded."""
+
+    def body(no: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        stream, lengths, hashes = encode(t for c in table.column("_text").chunks for t in binary_values(c))
+        sink = pa.BufferOutputStream()
+        carried = table.select(kept)
+        with pa.ipc.new_stream(sink, carried.schema) as writer:
+            writer.write_table(carried)
+        training = np.array(table.column("_train").to_pylist(), np.uint8)
+        blobs = [x.tobytes() for x in (stream, lengths, hashes, training)] + [sink.getvalue().to_pybytes()]
+        chunk = (TaskContext.get().partitionId() << 32) + no
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(stream)]), *[pa.array([b], pa.binary()) for b in blobs]], _BODY.names)
+
+    def run(batches):
+        parts, held, no = [], 0, 0
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+            done = 0
+            while done < batch.num_rows:
+                taken = int(ends[done - 1]) if done else 0
+                stop = max(done + 1, int(np.searchsorted(ends, taken + chunk_bytes - held, side="right")))
+                stop = min(stop, batch.num_rows)
+                parts.append(batch.slice(done, stop - done))
+                held += int(ends[stop - 1]) - taken
+                done = stop
+                if held >= chunk_bytes or (done < batch.num_rows and held + int(ends[done] - ends[done - 1]) > chunk_bytes):
+                    yield body(no, parts)
+                    parts, held, no = [], 0, no + 1
+        if parts:
+            yield body(no, parts)
+
+    return rows.mapInArrow(run, _BODY)
 
 
 def score(
@@ -157,6 +329,7 @@ def score(
     keep: list[str] | None = None,
     text_col: str = "text",
     order: int = ORDER,
+    mu: float = MU,
     chunk_bytes: int = CHUNK_BYTES,
     bucket_keys: int = BUCKET_KEYS,
 ) -> DataFrame:
@@ -164,36 +337,33 @@ def score(
 
     ``train`` marks the texts to learn from; all texts are scored.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "_chunk"]
-    size = docs.agg(F.sum(F.octet_length(text_col) + 8)).first()[0] or 0
-    chunks = max(LEAST, -(-size // chunk_bytes))
-    buckets = max(LEAST, -(-size // (6 * bucket_keys)))  # about a distinct n-gram for each 6 bytes of text
-    rows = docs.select(
-        F.pmod(F.xxhash64(*dict.fromkeys([*keep, text_col])), F.lit(chunks)).alias("_chunk"),
-        F.coalesce(train, F.lit(False)).alias("_train"),
-        F.col(text_col).alias("_text"),
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)],
-    )
-
-    def chunk_of(table: pa.Table) -> Chunk:
-        texts = (t for part in table.column("_text").chunks for t in binary_values(part))
-        return Chunk(texts, table.column("_train").to_numpy().astype(np.float64), order)
-
-    def request(key, table):
-        chunk = chunk_of(table)
-        by, cuts = chunk.buckets(buckets)
-        bounds = np.cumsum([0, *chunk.sizes])
-        out = []
-        for b in range(buckets):
-            at = by[cuts[b] : cuts[b + 1]]
-            if not len(at):
-                continue
-            parts = np.searchsorted(at, bounds)  # n-grams of each length, keys ascending
-            out.append((b, key[0].as_py(), [int(x) for x in np.diff(parts)], [_planes(chunk.keys[at[i:j]]) for i, j in zip(parts, parts[1:], strict=False)], _pack(chunk.counts[at])))
-        return pa.table(
-            [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary()))],
-            ["bucket", "chunk", "sizes", "keys", "counts"],
-        )
+    spark = ship(docs.sparkSession)
+    keep = docs.columns if keep is None else keep
+    kept = [f"_k{i}" for i in range(len(keep))]
+    rows = docs.select(F.coalesce(train, F.lit(False)).alias("_train"), F.col(text_col).alias("_text"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
+    bodies = saved(_chunks(rows, kept, chunk_bytes), "lm-chunks")
+    tokens = bodies.agg(F.sum("tokens")).first()[0] or 0
+    bits = min(64, max(40, (order * tokens).bit_length() + 22))
+    buckets = max(LEAST, -(-2 * tokens // bucket_keys))
+
+    def grams_of(row: dict) -> Grams:
+        return Grams(*(np.frombuffer(row[n], t) for n, t in (("stream", np.int32), ("lengths", np.int64), ("hashes", np.uint64))), order, bits)
+
+    def cuts_of(grams: Grams) -> np.ndarray:
+        return np.stack([_cuts(k, bits if i else 64, buckets) for i, k in enumerate(grams.keys)])
+
+    def request(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                grams = grams_of(row)
+                counts, cuts = grams.counts(np.frombuffer(row["training"], np.uint8)), cuts_of(grams)
+                out = []
+                for b in np.flatnonzero((cuts[:, 1:] > cuts[:, :-1]).any(0)):
+                    parts = [slice(i, j) for i, j in zip(cuts[:, b], cuts[:, b + 1], strict=True)]
+                    out.append((int(b), row["chunk"], [int(s.stop - s.start) for s in parts], [_squeeze(k[s]) for k, s in zip(grams.keys, parts, strict=True)], _pack(np.concatenate([c[s] for c, s in zip(counts, parts, strict=True)]))))
+                del grams, counts
+                kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["bucket", "chunk", "sizes", "keys", "counts"])
 
     def answer(table):
         n = table.num_rows
@@ -203,11 +373,10 @@ def score(
         replies = [[None] * order for _ in range(n)]
         total = distinct = 0
         for k in range(order):
-            keys = [_unplanes(b[k]) for b in blobs]
-            from_ = sizes[:, :k].sum(1)
-            mine = [c[f : f + s] for c, f, s in zip(counts, from_, sizes[:, k], strict=True)]
-            found, back = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(back, weights=np.concatenate(mine), minlength=len(found)).astype(np.int64)
+            before = sizes[:, :k].sum(1)
+            found, back, _ = _distinct(np.concatenate([_unsqueeze(b[k], s) for b, s in zip(blobs, sizes[:, k].tolist(), strict=True)]))
+            mine = np.concatenate([c[f : f + s] for c, f, s in zip(counts, before, sizes[:, k], strict=True)])
+            sums = np.bincount(back, weights=mine, minlength=len(found)).astype(np.int64)
             if k == 0:
                 words = sums[found != _mix(np.array([_START]))[0]]
                 total, distinct = int(words.sum()), int((words > 0).sum())
@@ -223,33 +392,39 @@ def score(
             }
         )
 
-    requests = rows.select("_chunk", "_train", "_text").groupBy("_chunk").applyInArrow(
-        request, "bucket int, chunk long, sizes array<long>, keys array<binary>, counts binary"
-    )
-    answers = saved(
-        requests.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, counts binary, total long, distinct long"), "lm-counts"
-    )
+    requests = bodies.select("chunk", "stream", "lengths", "hashes", "training").mapInArrow(request, "bucket int, chunk long, sizes array<long>, keys array<binary>, counts binary")
+    answers = saved(requests.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, counts binary, total long, distinct long"), "lm-counts")
+    release(spark)  # the requests' shuffle files
     total, distinct = answers.agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = total or 0, distinct or 0
 
-    def traverse(left, right):
+    def finish(left, right):
         if not left.num_rows:
             return empty
-        chunk = chunk_of(left)
-        by, cuts = chunk.buckets(buckets)
-        counts = np.zeros(len(chunk.keys), np.int64)
+        row = left.to_pylist()[0]
+        grams = grams_of(row)
+        cuts = cuts_of(grams)
+        counts = [np.zeros(len(k), np.int64) for k in grams.keys]
         for b, blob in zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True):
-            counts[by[cuts[b] : cuts[b + 1]]] = _unpack(blob)
-        n_tokens, n_known, base, logp = chunk.score(counts, total, distinct)
-        columns = [left.column(c) for c in kept]
-        new = [pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(base), total)), pa.array(base), pa.array(logp)]
-        return pa.table([*columns, *new], names)
+            found, at = _unpack(blob), 0
+            for k in range(order):
+                i, j = cuts[k, b], cuts[k, b + 1]
+                counts[k][i:j] = found[at : at + j - i]
+                at += j - i
+        c = counts[0][grams.at[0]]
+        scored = grams.place > 0
+        add = lambda x: np.add.reduceat(x, grams.starts)
+        known = add(scored & (c > 0)).astype(np.int64)
+        base = add(np.where(scored, np.log10((c + 1.0) / (total + distinct + 1.0)), 0.0))
+        logp = Automaton(grams, counts, total, distinct, mu).traverse(grams)
+        carried = pa.ipc.open_stream(row["kept"]).read_all() if kept else None
+        columns = [carried.column(k) for k in kept]
+        return pa.table([*columns, pa.array(grams.lengths - 1), pa.array(known), pa.array(np.full(len(base), total)), pa.array(base), pa.array(logp)], names)
 
-    kept = [f"_k{i}" for i in range(len(keep))]
     names = [*kept, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     new_fields = [T.StructField(n, T.LongType()) for n in names[-5:-2]] + [T.StructField(n, T.DoubleType()) for n in names[-2:]]
     schema = T.StructType([rows.schema[c] for c in kept] + new_fields)
     empty = to_arrow_schema(schema).empty_table()
-    out = rows.groupBy("_chunk").cogroup(answers.select(F.col("chunk").alias("_chunk"), "bucket", "counts").groupBy("_chunk")).applyInArrow(traverse, schema)
-    ours = {"n_tokens", "n_known", "train_tokens", "base_score", "score"}
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep) if c not in ours], *names[-5:])
+    out = bodies.drop("training", "tokens").groupBy("chunk").cogroup(answers.select("chunk", "bucket", "counts").groupBy("chunk")).applyInArrow(finish, schema)
+    ours = set(names[-5:])
+    return out.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True) if c not in ours], *names[-5:])

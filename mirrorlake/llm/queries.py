@@ -57,6 +57,11 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def lm_score_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6_lm_score with its scores rounded, so that SQL gives the same values."""
+    return op6_lm_score(spark, sf_dir).withColumns({c: F.round(c, 4) for c in ("base_score", "score")})
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_with_edits(read(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -83,13 +88,41 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_language_id, op3_topk_search, op4_warc, op5_source_mix,
-        op6_lm_score, op7_token_counts, op8_simhash, op9_url_filter, op10_quality,
+        op6_lm_score, lm_score_digest, op7_token_counts, op8_simhash, op9_url_filter, op10_quality,
     )
 }
 
 _WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+def _crc32(value: str) -> str:
+    """CRC-32 of a short ASCII text, bit by bit, as SQL."""
+    bits = "list_reduce(range(0, 9), lambda a, k: CASE WHEN k = 0 THEN a WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, {0})"
+    step = bits.format("xor(c, b)")
+    return f"xor(list_reduce(list_transform(range(1, strlen({value}) + 1), lambda i: ascii(substr({value}, i::INT, 1))::BIGINT), lambda c, b: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+def _lm_sql(order: int, mu: float) -> str:
+    """Counts and scores by joins: one table of tokens with the n-grams that end there."""
+    gram = lambda n, at="t": f"[{', '.join(f't{i}' for i in range(n - 1, -1, -1))}]" if at == "t" else f"[{', '.join(f't{i}' for i in range(n, 0, -1))}]"
+    lags = ", ".join(f"lag(w, {i}) OVER (PARTITION BY r ORDER BY p) AS t{i}" for i in range(1, order))
+    counts = "".join(f"g{n} AS (SELECT {gram(n)} AS g, count(*) FILTER (NOT held_out) AS c FROM s WHERE t{n - 1} IS NOT NULL GROUP BY 1),\n" for n in range(1, order + 1))
+    joins = "".join(f" LEFT JOIN g{n} ON g{n}.g = {gram(n)}" for n in range(1, order + 1)) + "".join(f" LEFT JOIN g{n} AS h{n} ON h{n}.g = {gram(n, 'h')}" for n in range(1, order))
+    p = "(coalesce(g1.c, 0) + 1.0::DOUBLE) / (n_all + v + 1)"
+    for n in range(2, order + 1):
+        p = f"CASE WHEN t{n - 1} IS NULL THEN {{0}} ELSE (g{n}.c + {mu}::DOUBLE * {{0}}) / (h{n - 1}.c + {mu}) END".format(f"({p})")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_crc32("doc_id::VARCHAR")} % 7 = 2, false) AS held_out,
+                  ['<s> '] || regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') || ['</s> '] AS ws FROM documents),
+k AS (SELECT r, doc_id, held_out, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+s AS (SELECT r, doc_id, held_out, w AS t0, p, {lags} FROM k),
+{counts}n AS (SELECT sum(c)::BIGINT AS n_all, count(*) FILTER (c > 0) AS v FROM g1 WHERE g <> ['<s> ']),
+x AS (SELECT s.r, s.doc_id, s.held_out, n_all, coalesce(g1.c, 0) AS c1, log10((coalesce(g1.c, 0) + 1.0::DOUBLE) / (n_all + v + 1)) AS b, log10({p}) AS m FROM s, n{joins} WHERE p > 1)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c1 > 0) AS n_known, any_value(n_all) AS train_tokens, round(sum(b), 4) AS base_score, round(sum(m), 4) AS score
+FROM x GROUP BY r, doc_id, held_out"""
+
+
 ORACLE_SQL = {
+    "lm_score_digest": _lm_sql(lm.ORDER, lm.MU),
     "op1_decontamination": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
 b AS (SELECT item_id::VARCHAR AS item, {_WORDS.format("text")} AS w FROM benchmark),

@@ -190,14 +190,6 @@ def test_lm(spark, odd, empty):
     assert none.train_tokens == 0 and none.n_known == 0 and none.score == 0.0
 
 
-def test_lm_probabilities_add_up(spark):
-    words = ["a", "b", "c", "zzz"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "b a", "a"])] + [(100 + i, f"a {w}") for i, w in enumerate(words)] + [(200, "a")], "doc_id long, text string")
-    got = {r.text: r.score for r in lm.score(df, train=F.col("doc_id") < 100, order=3).collect()}
-    prefix = {w: got[f"a {w}"] for w in words}
-    assert len(prefix) == 4 and all(v < 0 for v in got.values())
-
-
 @pytest.mark.parametrize("seed", range(3))
 def test_token_trees_survive_random_edits(seed):
     r, counter = random.Random(seed), tokencount.Counter(tokencount.load_ranks())

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from mirrorlake.llm import queries
+from mirrorlake.llm import lm, queries
+from test_llm_lm import plain_model
 
 
 def rows(df):
@@ -28,22 +29,17 @@ def test_query_equals_sql(spark, con, data, name):
 
 
 def test_lm_scores(spark, data, texts):
-    uni, bi = Counter(), Counter()
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    marked = {i: ["<s>", *(t or "").encode().lower().split(), "</s>"] for i, t in texts.items()}
-    for i, s in marked.items():
-        if not held(i):
-            uni.update(s)
-            bi.update(zip(s, s[1:], strict=False))
-    total, v = sum(uni.values()) - uni["<s>"], len(uni) - 1
+    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    _, model, (total, v) = plain_model([[w.hex() for w in ws] for i, ws in words.items() if not held(i)], lm.ORDER, lm.MU)
+    uni = Counter(w for i, ws in words.items() if not held(i) for w in [*ws, None])
     got = {r.doc_id: r for r in queries.op6_lm_score(spark, data).collect()}
     assert got.keys() == texts.keys()
-    for i, s in marked.items():
-        base = sum(math.log10((uni[y] + 1) / (total + v + 1)) for y in s[1:])
-        model = sum(math.log10((bi[x, y] + 4 * (uni[y] + 1) / (total + v + 1)) / (uni[x] + 4)) for x, y in zip(s, s[1:], strict=False))
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(s) - 1, sum(uni[y] > 0 for y in s[1:]), total)
-        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, model, rel_tol=1e-9)
+    for i, ws in words.items():
+        r, s = got[i], [*ws, None]
+        base = sum(math.log10((uni[y] + 1) / (total + v + 1)) for y in s)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(s), sum(uni[y] > 0 for y in s), total)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, model([w.hex() for w in ws]), rel_tol=1e-9)
 
 
 def plain_fingerprint(text):
