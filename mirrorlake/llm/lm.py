@@ -297,7 +297,7 @@ def _chunks(rows: DataFrame, kept: list[str], chunk_bytes: int) -> DataFrame:
         with pa.ipc.new_stream(sink, carried.schema) as writer:
             writer.write_table(carried)
         training = np.array(table.column("_train").to_pylist(), np.uint8)
-        blobs = [x.tobytes() for x in (stream, lengths, hashes, training)] + [sink.getvalue().to_pybytes()]
+        blobs = [pa.compress(stream.tobytes(), "zstd", asbytes=True), *(x.tobytes() for x in (lengths, hashes, training)), sink.getvalue().to_pybytes()]
         chunk = (TaskContext.get().partitionId() << 32) + no
         return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(stream)]), *[pa.array([b], pa.binary()) for b in blobs]], _BODY.names)
 
@@ -347,7 +347,9 @@ def score(
     buckets = max(LEAST, -(-2 * tokens // bucket_keys))
 
     def grams_of(row: dict) -> Grams:
-        return Grams(*(np.frombuffer(row[n], t) for n, t in (("stream", np.int32), ("lengths", np.int64), ("hashes", np.uint64))), order, bits)
+        lengths, hashes = np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["hashes"], np.uint64)
+        stream = np.frombuffer(pa.decompress(row["stream"], 4 * int(lengths.sum()), "zstd", asbytes=True), np.int32)
+        return Grams(stream, lengths, hashes, order, bits)
 
     def cuts_of(grams: Grams) -> np.ndarray:
         return np.stack([_cuts(k, bits if i else 64, buckets) for i, k in enumerate(grams.keys)])
