@@ -48,7 +48,7 @@ from mirrorlake.llm.common import binary_values, release, saved
 MU = 16.0
 ORDER = 3
 #: Text bytes of a chunk, n-grams of a bucket: what a task holds at once. Tokens of a stretch.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_KEYS = 2 << 20
 STRETCH = 256
 #: Least number of buckets, for even loads on small inputs.

@@ -65,7 +65,7 @@ def test_probabilities_after_a_history_add_up_to_one(spark, order):
     starts = [["w0", "w1"], ["w3"], ["unknown", "w0"], []]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     rows += [(1000 + 100 * i + j, " ".join([*s, *x])) for i, s in enumerate(starts) for j, x in enumerate([[], *[[w] for w in words], ["never"]])]
-    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), train=F.col("doc_id") < 1000, order=order).collect()}
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), train=F.col("doc_id") < 1000, order=order, mu=4.0).collect()}
     for i, s in enumerate(starts):
         h = ["<s>", *s]
         before = sum(math.log10(p(h[max(0, k - order + 1) : k], h[k])) for k in range(1, len(h)))
