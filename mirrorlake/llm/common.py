@@ -8,6 +8,7 @@ that setting is absent (tests on one machine).
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from mirrorlake.deploy import ship
 
 _own_dir: list[str] = []
+#: Paths of the work tables written since each scratch() began.
+_scratch: list[list[str]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,10 +51,41 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = ship(df.sparkSession)
     path = new_dir(spark, name)
+    for made in _scratch[-1:]:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Remove the work tables written within when it is left, but for those handed to the function that it gives.
+
+    Whatever is computed later must not read them. After a failure nothing is removed.
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(made[-1:])
+        return df
+
+    _scratch.append(made)
+    try:
+        yield keep
+    finally:
+        _scratch.remove(made)
+    for path in made:
+        if path not in kept:
+            remove(spark, path)
+    release(spark)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of tables that are written and done with; else they stay until the driver happens to collect garbage."""
     for _ in range(2):  # what the first round frees may hold more

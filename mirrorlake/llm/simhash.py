@@ -20,13 +20,19 @@ Components: rounds that contract every node into its smallest neighbour under a
 random order, with pointer jumping, until the links left are few enough (checked)
 for one task. Nothing is collected on the driver.
 
-``similar`` serves a similarity of shingle sets instead of a radius of few bits, and is exact. Distinct sets of
-shingle hashes are joined by prefix: with the shingles of every set in one order, two sets at Jaccard t or more
-share one among the first n - ceil(t n) + 1 of each. The order is rare first by a sketch of counts, which
-bears on the cost only. Pairs that meet there, fit in size and differ in no more bits of a parity bitmap than the
-similarity allows (a bound that loses none) are decided by the Jaccard similarity of their sets. The first
-members of each list are compared with all others; in a longer list, only members that aren't in one component
-by then are compared in pairs of blocks. Components are shared.
+``similar`` serves a Jaccard similarity of shingle sets instead of a radius of few bits, by the same principle on
+the sets themselves. Two sets of n and m shingles at similarity t differ in at most d = (1 - t) / (1 + t) (n + m)
+shingles. The shingles are split into partitions by their hash, more for larger sets; at most d partitions
+differ. So a set that probes any d + 1 of its partitions, holding shingles, meets in one of them every set that
+is not larger and similar: thresholds are 0 for those probed and none for the others, and those probed are the ones
+with the least estimated candidates: partitions with the most shingles, or, for sets of up to ``SHORT`` shingles,
+where each shingle is a partition, the rarest by a sketch of counts. A set probes its own size class and those
+of the smaller sets that may be similar. Candidates that a bound by parity bitmaps doesn't rule out (it loses
+none) are decided by the Jaccard similarity of their sets, so every link is a true one. Pairs are tried in three
+rounds: the first members of each list with all others; then, in longer lists that are not of one component yet,
+a spanning forest of the possible pairs in each pair of blocks; then the pairs that are left.
+A set is known by a 64-bit hash; a similar pair is missed only if more than 16 shingles of a set fall on fewer
+than d + 1 partitions (below 1e-11 for a set).
 
 Defined results: repeated documents are one fingerprint and link to each other;
 rows with null doc_id take part and get the component of their fingerprint (null
@@ -35,17 +41,20 @@ if no row of the component has an id); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mirrorlake.llm.common import binary_values, per_task_vector, saved, without
+from mirrorlake.deploy import ship
+from mirrorlake.llm.common import binary_values, per_task_vector, release, saved, scratch, without
 
 SHINGLE = 3
 RADIUS = 3
@@ -57,8 +66,10 @@ FEW_LINKS = 12_000
 _ONE = np.uint64(1)
 #: ``similar``: words of a shingle, Jaccard similarity.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Sets of up to so many shingles are found by single shingles.
+SHORT = 16
 #: 64-bit words of a parity bitmap; its bitmaps in one block; members of a list that are compared with all others.
-WORDS, WIDE_BLOCK, CENTRES = 10, 1024, 8
+WORDS, WIDE_BLOCK, CENTRES = 10, 1024, 2
 #: Counters of the sketch that orders shingles; nodes whose texts are found by broadcast (by shuffle beyond).
 SLOTS, FEW_NODES = 1 << 20, 200_000
 _EPS = 1e-9
@@ -375,43 +386,49 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     With ``carry``, also those columns and ``root``, which names the component where it has no id.
     """
-    fps = saved(fingerprints(docs.select(id_col, text_col, *carry), keep=[id_col, *carry], text_col=text_col, k=k), "fingerprints")
-    distinct = saved(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    found = components(near_links(distinct, radius=radius))
+    ship(docs.sparkSession)
+    fps = fingerprints(docs.select(id_col, text_col, *carry), keep=[id_col, *carry], text_col=text_col, k=k)
 
     def nodes(batches):
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(node_of(fp)), *batch.columns], ["node", "fp", "least"])
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node_of(fp))], [*batch.schema.names, "node"])
 
-    least_type = distinct.schema["least"].dataType
-    named = distinct.mapInArrow(nodes, T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("least", least_type)]))
-    return _named_components(fps, named, found, id_col, carry=carry)
+    fps = saved(fps.mapInArrow(nodes, T.StructType([*fps.schema, T.StructField("node", T.LongType())])), "fingerprints")
+    named = saved(fps.groupBy("node", "fp").agg(F.min(id_col).alias("least")), "distinct")
+    found = components(near_links(named, radius=radius))
+    return _named_components(fps, named.select("node", "least"), found, id_col, carry=carry)
 
 
-def _named_components(fps: DataFrame, named: DataFrame, found: DataFrame, id_col: str, on: str = "fp", carry: tuple[str, ...] = ()) -> DataFrame:
-    rooted = saved(named.join(found, "node", "left").select(on, "least", F.coalesce("root", "node").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(least, "root").select(on, "component_id", "root")
-    return fps.join(by_fp, on).select(id_col, "fp", "component_id", *carry, *["root"][: len(carry)])
+def _named_components(fps: DataFrame, named: DataFrame, found: DataFrame, id_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, fp, node) with the least id of their node's component; ``least`` is written before it is joined, so that Spark can split large components."""
+    rooted = saved(named.join(found, "node").select("node", "least", "root"), "rooted")
+    least = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    linked = rooted.join(least, "root").select("node", "component_id", "root")
+    alone = named.join(found, "node", "left_anti").select("node", F.col("least").alias("component_id"), F.col("node").alias("root"))
+    by_node = saved(linked.unionByName(alone), "nodes")
+    return fps.join(by_node, "node").select(id_col, "fp", "component_id", *carry, *["root"][: len(carry)])
 
 
 # ---- a given similarity of shingle sets ---------------------------------------------
 
 
-def differing(similarity: float) -> float:
-    """Expected share of differing bits of two sets of equal size with this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
 def shingle_set(text: bytes | None, k: int = SIMILAR_SHINGLE) -> np.ndarray:
     """Distinct XXH64 hashes of the shingles, sorted."""
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes)
     k = min(k, len(words))
-    digest, n = xxhash.xxh64_intdigest, len(words) - k + 1
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + k]), 42) for i in range(n)), np.uint64, n))
+    digest, starts, stops = xxhash.xxh64_intdigest, (ends - sizes).tolist(), (ends[k - 1 :] - 1).tolist()
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=False)), np.uint64, len(stops)))
+
+
+def set_node(shingles: np.ndarray) -> int:
+    """The node of a set: a 64-bit hash of it."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
 def parity(shingles: np.ndarray) -> bytes:
@@ -420,63 +437,146 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at, minlength=64 * WORDS) & 1, bitorder="little").tobytes()
 
 
-def _slot(shingles: np.ndarray) -> np.ndarray:
-    return (shingles & np.uint64(SLOTS - 1)).astype(np.int64)
+def most_apart(n, m, similarity: float):
+    """Shingles in which two sets of ``n`` and ``m`` at the similarity may differ, at most."""
+    return np.floor((1 - similarity) / (1 + similarity) * (n + m) + _EPS).astype(np.int64)
 
 
-def prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The shingles, rare first, of which any set at ``similarity`` has one among its own."""
-    n = len(shingles)
-    order = np.lexsort((shingles, counts[_slot(shingles)]))
-    return shingles[order[: n - math.ceil(similarity * n - _EPS) + 1]]
+def _may(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """If sets of ``n`` and ``m`` shingles can be at ``similarity``."""
+    return np.minimum(n, m) >= similarity * np.maximum(n, m) - _EPS
 
 
-def _may(n: np.ndarray, m: np.ndarray, apart: np.ndarray, similarity: float) -> np.ndarray:
-    """If sets of ``n`` and ``m`` shingles whose bitmaps differ in ``apart`` bits can be at ``similarity``."""
-    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - _EPS) & (apart <= (1 - similarity) / (1 + similarity) * (n + m) + _EPS)
+class Classes:
+    """Size classes: class 0 up to ``SHORT`` shingles, then ranges whose ends are at the similarity of each other."""
 
+    def __init__(self, similarity: float):
+        self.similarity, self.last = similarity, [0, SHORT]  # of the class before, and of each
 
-def bands(n: int, similarity: float, recall: float) -> list[np.ndarray]:
-    """Bits of each band of an approximate search (``similar`` is exact and needs none): wide enough for few chance candidates among ``n``, as many bands as ``recall`` at ``similarity`` needs.
+    def of(self, n: int) -> int:
+        while self.last[-1] < n:
+            low = self.last[-1] + 1
+            self.last.append(max(low, int(low / self.similarity)))
+        return bisect.bisect_left(self.last, n, 1) - 1
 
-    Beyond the bits there are, bands reuse them in another order.
-    """
-    width = max(16, math.ceil(math.log2(max(n, 2))) - 6)
-    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** width))
-    rng, found = np.random.default_rng(42), []
-    while len(found) < count:
-        order = rng.permutation(64 * WORDS)
-        found += [order[i : i + width] for i in range(0, len(order) - width + 1, width)]
-    return found[:count]
+    def partitions(self, c: int) -> int:
+        """Partitions of the shingles for the sets of a class; 0: each shingle is one."""
+        return 0 if c == 0 else math.ceil(2 * (1 - self.similarity) * (self.last[c] + 1)) + 16
 
 
-def _wide(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(v.as_py() for v in column), np.uint64).reshape(-1, WORDS)
+def _sub_sets(shingles: np.ndarray, c: int, partitions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each partition that holds shingles: hash of these, how many they are, and the first one."""
+    if not partitions:
+        at, values = np.arange(len(shingles)), shingles
+    else:
+        part = ((shingles >> np.uint64(8)) % np.uint64(partitions)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        at = np.flatnonzero(np.diff(part[by], prepend=-1))
+        shingles = shingles[by]
+        values = np.add.reduceat(shingles * np.uint64(0xD6E8FEB86659FD93) ^ (shingles >> np.uint64(29)), at)
+        values = values + part[by][at].astype(np.uint64)
+    values = (values ^ (values >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c)
+    return (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), np.diff(np.append(at, len(shingles))), shingles[at]
 
 
-def _shingle_counts(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
-    """How many shingles of the documents fall on each counter."""
+INDEX, PROBE = 1, 2
+
+
+def set_entries(shingles: np.ndarray, classes: Classes, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values under which a set is found, and whether by index, by probe or both (flags)."""
+    n = len(shingles)
+    own = classes.of(n)
+    values, flags = [], []
+    for c in range(classes.of(math.ceil(classes.similarity * n - _EPS)), own + 1):
+        found, sizes, first = _sub_sets(shingles, c, classes.partitions(c))
+        need = int(most_apart(n, min(n, classes.last[c + 1]), classes.similarity)) + 1
+        cost = counts[_slot(first)] if c == 0 else -sizes  # few candidates: rare shingles, or partitions with many
+        probed = np.zeros(len(found), np.int8)
+        probed[np.lexsort((found, cost))[:need]] = PROBE
+        if c == own:
+            values.append(found)
+            flags.append(probed | INDEX)
+        else:
+            values.append(found[probed > 0])
+            flags.append(probed[probed > 0])
+    return np.concatenate(values), np.concatenate(flags)
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _short_counts(fps: DataFrame) -> np.ndarray:
+    """How many shingles of the short sets fall on each counter; of equal rows in a batch, one counts."""
 
     def add(total, batch):
-        sets = [shingle_set(t, k) for t in binary_values(batch.column(0))]
-        total += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS)
+        sets = [np.frombuffer(v.as_py(), np.uint64) for v in pc.unique(batch.column(0)) if v.is_valid]
+        if sets:
+            total += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS)
 
-    got = per_task_vector(docs.select(text_col), SLOTS, add)
+    got = per_task_vector(fps.select("short"), SLOTS, add)
     return np.zeros(SLOTS, np.uint32) if got is None else np.minimum(got, 2**32 - 1).astype(np.uint32)
 
 
-def _prefix_entries(named: DataFrame) -> DataFrame:
-    """(value, node): every set under the shingles of its prefix."""
+def _entries_of_sets(docs: DataFrame, text_col: str, k: int, similarity: float, counts: np.ndarray) -> DataFrame:
+    """(value, node, n, flag) of every set; a set that a task has met before is left out, as its entries are the same."""
+    names = ["value", "node", "n", "flag"]
 
     def run(batches):
+        classes, met = Classes(similarity), set()
+
+        def entries(shingles, node):
+            if len(shingles) and node not in met:
+                if len(met) >= FEW_NODES:
+                    met.clear()
+                met.add(node)
+                values, flags = set_entries(shingles, classes, counts)
+                return values.view(np.int64), np.full(len(values), node), np.full(len(values), len(shingles), np.int32), flags
+            return None
+
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                values = [np.frombuffer(v.as_py(), np.int64) for v in part.column(1)]
-                nodes = np.repeat(part.column(0).to_numpy(), [len(v) for v in values])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(nodes)], ["value", "node"])
+            held, rows = [], 0
+            for text in binary_values(batch.column(0)):
+                shingles = shingle_set(text, k)
+                found = entries(shingles, set_node(shingles))
+                if found:
+                    held.append(found)
+                    rows += len(found[0])
+                if rows > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
+                    held, rows = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
 
-    return named.select("node", "prefix").mapInArrow(run, "value long, node long")
+    return docs.select(text_col).mapInArrow(run, "value long, node long, n int, flag byte")
+
+
+def _numbers(batch: pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1)
+
+
+def _shared(entries: DataFrame) -> DataFrame:
+    """Rows sorted by value and node in; those out, once each, whose value is held by several nodes."""
+    names = ("value", "node", "n", "flag")
+
+    def run(batches):
+        rest, tied = np.empty((0, 4), np.int64), False  # the last row, and if the one before has its value
+        for batch in itertools.chain(batches, [None]):
+            rows = rest if batch is None else np.concatenate([rest, _numbers(batch, names)])
+            if not len(rows):
+                continue
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+            rows = rows[new]
+            same = rows[1:, 0] == rows[:-1, 0]
+            several = np.concatenate([[tied], same]) | np.concatenate([same, [False]])
+            if batch is not None:
+                rest, tied = rows[-1:], bool(several[-1])
+                rows, several = rows[:-1], several[:-1]
+            out = rows[several]
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, i].astype(t)) for i, t in enumerate((np.int64, np.int64, np.int32, np.int8))], list(names))
+
+    return entries.repartition("value").sortWithinPartitions("value", "node").mapInArrow(run, "value long, node long, n int, flag byte")
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -484,59 +584,92 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _first_pairs(members: DataFrame, similarity: float, centres: int) -> DataFrame:
-    """Members (value, node, n, fp) sorted by value and node in; pairs (a, b) of the first ``centres`` of each list with all others, where they may be similar."""
+def _first_pairs(lists: DataFrame, similarity: float, centres: int) -> DataFrame:
+    """Pairs (a, b) of the first ``centres`` of each list with all others, where one probes, the other is indexed, and their sizes fit."""
 
     def run(batches):
-        value, node, n, fp = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WORDS), np.uint64)
+        held, had = np.empty((0, 4), np.int64), 0  # the first of the list that the last batch ended in
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held = len(value)  # the first of the list that the last batch ended in
-            value, node, n = (np.concatenate([x, batch.column(c).to_numpy().astype(np.int64)]) for x, c in ((value, "value"), (node, "node"), (n, "n")))
-            fp = np.concatenate([fp, _wide(batch.column("fp"))])
+            had = len(held)
+            rows = np.concatenate([held, _numbers(batch, ("value", "node", "n", "flag"))])
+            value, node, n, flag = rows.T
             start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
             own = np.repeat(start, np.diff(np.append(start, len(value))))
             at = np.arange(len(value))
             found = []
             for c in range(centres):
-                y = at[(at - own > c) & (at >= held)]
+                y = at[(at - own > c) & (at >= had)]
                 x = own[y] + c
-                good = _may(n[x], n[y], np.bitwise_count(fp[x] ^ fp[y]).sum(1, dtype=np.int64), similarity)
+                longer = ((flag[x] & PROBE) > 0) & ((flag[y] & INDEX) > 0) & (n[x] >= n[y])
+                shorter = ((flag[y] & PROBE) > 0) & ((flag[x] & INDEX) > 0) & (n[y] >= n[x])
+                good = _may(n[x], n[y], similarity) & (longer | shorter)
                 found.append((node[x[good]], node[y[good]]))
             yield _pair_batch(*map(np.concatenate, zip(*found, strict=True)))
-            last = slice(start[-1], start[-1] + centres)
-            value, node, n, fp = value[last].copy(), node[last].copy(), n[last].copy(), fp[last].copy()
+            held = rows[start[-1] : start[-1] + centres].copy()
 
-    return members.mapInArrow(run, "a long, b long")
+    return lists.repartition("value").sortWithinPartitions("value", "node").mapInArrow(run, "a long, b long").distinct()
 
 
-def _block_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
-    """Rows sorted by list and blocks in; pairs (a, b) of different components that may be similar."""
+def _wide(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(v.as_py() for v in column), np.uint64).reshape(-1, WORDS)
+
+
+def _near(n: np.ndarray, m: np.ndarray, apart: np.ndarray, similarity: float) -> np.ndarray:
+    return _may(n, m, similarity) & (apart <= most_apart(n, m, similarity))
+
+
+def _possible(pairs: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose parity bitmaps don't rule the similarity out."""
+
+    def run(batches):
+        for batch in batches:
+            apart = np.bitwise_count(_wide(batch.column("fp_a")) ^ _wide(batch.column("fp_b"))).sum(1, dtype=np.int64)
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+            yield batch.select(["a", "b"]).filter(pa.array(_near(n, m, apart, similarity)))
+
+    x, y = (named.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
+
+
+def _block_pairs(dealt: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """Rows sorted by list and blocks in; pairs (a, b) of different components that may be similar, or a spanning forest of components by such pairs."""
 
     def run(batches):
         keys, nodes, fps = np.empty((0, 3), np.int64), np.empty((0, 3), np.int64), np.empty((0, WORDS), np.uint64)
 
+        def thinned(node, root, a, b):
+            """Of the pairs, those that join components which none before has joined."""
+            ends = np.stack([np.minimum(root[a], root[b]), np.maximum(root[a], root[b])], axis=1)
+            _, at = np.unique(ends, axis=0, return_index=True)
+            joined = _Union()
+            use = [i for i in at.tolist() if joined.join(*ends[i].tolist())]
+            return node[a[use]], node[b[use]]
+
         def pairs(keys, nodes, fps):
             """Whole lists in."""
             cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
             for lo, hi in itertools.pairwise(cuts.tolist()):
                 (node, root, n), fp = nodes[lo:hi].T, fps[lo:hi]
+                held = []
                 for i in range(0, hi - lo, 128):
                     rows = slice(i, i + 128)
                     apart = np.zeros((len(node[rows]), hi - lo), np.int64)
                     for w in range(WORDS):
                         apart += np.bitwise_count(fp[rows, w, None] ^ fp[None, :, w])
-                    near = _may(n[rows, None], n[None], apart, similarity) & (root[rows, None] != root[None]) & (node[rows, None] < node[None])
+                    near = _near(n[rows, None], n[None], apart, similarity) & (root[rows, None] != root[None]) & (node[rows, None] < node[None])
                     a, b = np.nonzero(near)
-                    if len(a):
-                        yield _pair_batch(node[rows][a], node[b])
+                    held.append((a + i, b))
+                a, b = map(np.concatenate, zip(*held, strict=True))
+                if len(a):
+                    yield _pair_batch(*(thinned(node, root, a, b) if forest else (node[a], node[b])))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new, more = (np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1) for names in (("value", "lo", "hi"), ("node", "root", "n")))
-            keys, nodes, fps = np.concatenate([keys, new]), np.concatenate([nodes, more]), np.concatenate([fps, _wide(batch.column("fp"))])
+            keys, nodes = np.concatenate([keys, _numbers(batch, ("value", "lo", "hi"))]), np.concatenate([nodes, _numbers(batch, ("node", "root", "n"))])
+            fps = np.concatenate([fps, _wide(batch.column("fp"))])
             other = np.flatnonzero((keys != keys[-1]).any(1))
             if len(other):
                 end = int(other[-1]) + 1
@@ -545,7 +678,7 @@ def _block_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
         if len(keys):
             yield from pairs(keys, nodes, fps)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _decided(pairs: DataFrame, named: DataFrame, docs: DataFrame, text_col: str, k: int, similarity: float) -> DataFrame:
@@ -571,71 +704,75 @@ def _decided(pairs: DataFrame, named: DataFrame, docs: DataFrame, text_col: str,
                 good.append(both >= similarity * (len(u) + len(v) - both) - _EPS)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(decide, "a long, b long")
+    return saved(pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(decide, "a long, b long"), "near")
 
 
-def similar_links(named: DataFrame, docs: DataFrame, *, text_col: str, k: int, similarity: float, block: int = WIDE_BLOCK, centres: int = CENTRES) -> DataFrame:
+def similar_links(entries: DataFrame, named: DataFrame, docs: DataFrame, *, text_col: str, k: int, similarity: float, block: int = WIDE_BLOCK, centres: int = CENTRES) -> DataFrame:
     """Links (a, b) between nodes; transitively, all pairs whose shingle sets are at ``similarity``, and no others."""
-    by_list = Window.partitionBy("value")
-    listed = saved(_prefix_entries(named).withColumn("members", F.count(F.lit(1)).over(by_list)).where("members > 1"), "lists")
-    size = named.select("node", "n", "fp")
-    members = listed.select("value", "node").join(size, "node").select("value", "node", "n", "fp")
-    first = saved(_first_pairs(members.repartition("value").sortWithinPartitions("value", "node"), similarity, centres).distinct(), "pairs")
-    links = saved(_decided(first, named, docs, text_col, k, similarity), "near")
-    rest = listed.where(F.col("members") > centres + 1)  # the others are compared in full
-    if rest.isEmpty():
-        return links
-    roots = components(links)
-    rest = saved(rest.join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root")), "rest")
-    mixed = rest.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
-    rest = saved(rest.join(mixed, "value", "left_semi").join(size, "node").select(F.lit(0).alias("part"), "value", "node", "root", "n", "fp"), "rest")
-    dealt = _dealt(rest, _large(rest, block), "node")
-    keys = ["value", "lo", "hi"]
-    pairs = _block_pairs(dealt.repartition(*keys).sortWithinPartitions(*keys), similarity).distinct()
-    more = saved(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(_decided(more, named, docs, text_col, k, similarity))
+    spark = docs.sparkSession
+    lists = saved(_shared(entries), "lists")
+    release(spark)  # the entries' shuffle files, the largest of all
+    tried = saved(_possible(saved(_first_pairs(lists, similarity, centres), "firsts"), named, similarity), "pairs")
+    links = _decided(tried, named, docs, text_col, k, similarity)
+    for forest in (True, False):
+        roots = components(links)
+        rest = saved(lists.join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root")), "rest")
+        mixed = rest.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("members"))
+        mixed = saved(mixed.where("x <> y").where(F.col("members") > centres + 1).select("value"), "mixed")  # smaller lists are done
+        rest = saved(rest.join(mixed, "value", "left_semi").join(named.select("node", "n", "fp"), "node").select(F.lit(0).alias("part"), "value", "node", "root", "n", "fp"), "rest")
+        if rest.isEmpty():
+            break
+        dealt = _dealt(rest, saved(_large(rest, block), "large"), "node")
+        keys = ["value", "lo", "hi"]
+        pairs = _block_pairs(dealt.repartition(*keys).sortWithinPartitions(*keys), similarity, forest)
+        more = saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = _decided(more, named, docs, text_col, k, similarity)
+        links, tried = links.unionByName(found), tried.unionByName(more)
+    return links
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, carry: tuple[str, ...] = (), **options) -> DataFrame:
     """id, fp (the parity bitmap) and component_id, as ``near_duplicates``, by similarity of shingle sets."""
-    docs = docs.select(id_col, text_col, *carry)
-    counts = _shingle_counts(docs, text_col, k)
-    names = ["fp", "key", "n", "prefix"]
+    docs = ship(docs.sparkSession) and docs.select(id_col, text_col, *carry)
 
     def run(batches):
         for batch in batches:
             rows = []
             for t in binary_values(batch.column(1)):
                 s = shingle_set(t, k)
-                rows.append((parity(s), xxhash.xxh3_128_digest(s.tobytes()), len(s), prefix(s, counts, similarity).tobytes()))
-            made = [pa.array([r[i] for r in rows], pa.int32() if i == 2 else pa.binary()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *made], [id_col, *carry, "source", *names])
+                rows.append((parity(s), set_node(s), len(s), s.tobytes() if 0 < similarity * len(s) - _EPS <= SHORT else None))
+            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *made], [id_col, *carry, "source", "fp", "node", "n", "short"])
 
-    kinds = [T.BinaryType(), T.BinaryType(), T.IntegerType(), T.BinaryType()]
-    schema = T.StructType([*[docs.schema[c] for c in (id_col, *carry)], T.StructField("source", T.StringType()), *[T.StructField(c, t) for c, t in zip(names, kinds, strict=True)]])
+    kinds = {"source": T.StringType(), "fp": T.BinaryType(), "node": T.LongType(), "n": T.IntegerType(), "short": T.BinaryType()}
+    schema = T.StructType([*[docs.schema[c] for c in (id_col, *carry)], *[T.StructField(c, t) for c, t in kinds.items()]])
     fps = saved(docs.withColumn("source", F.md5(F.col(text_col))).mapInArrow(run, schema), "fingerprints")
-    distinct = fps.groupBy("key").agg(F.min(id_col).alias("least"), F.min("source").alias("source"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix")])
-    # XXH64 of one long is one-to-one: nodes in random order
-    named = saved(distinct.withColumn("node", F.xxhash64(F.monotonically_increasing_id())), "distinct")
-    found = components(similar_links(named, docs, text_col=text_col, k=k, similarity=similarity, **options))
-    return _named_components(fps.select(id_col, "fp", "key", *carry), named.select("node", "key", "least"), found, id_col, "key", carry)
+    named = saved(fps.groupBy("node").agg(F.min(id_col).alias("least"), F.min("source").alias("source"), F.first("fp").alias("fp"), F.first("n").alias("n")), "distinct")
+    entries = _entries_of_sets(docs, text_col, k, similarity, _short_counts(fps))
+    found = components(similar_links(entries, named, docs, text_col=text_col, k=k, similarity=similarity, **options))
+    return _named_components(fps.select(id_col, "fp", "node", *carry), named.select("node", "least"), found, id_col, carry=carry)
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, **options) -> DataFrame:
     """Input columns of one row of each component: that with the smallest id, then hash of the row. ``find`` is near_duplicates or similar.
 
-    Rows without an id come last, and one stays where no row of the component has an id.
+    Rows without an id come last, and one stays where no row of the component has an id. Of rows equal in all columns one stays.
     """
     columns = docs.columns
+    ship(docs.sparkSession)
     marked = docs.withColumn("_row", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
-    found = saved(find(marked, id_col=id_col, text_col=text_col, carry=("_row",), **options), "found")
-    best = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("_id"), F.col("_row"))).alias("best"))
-    rows = found.join(best, "root").select(F.col(id_col).alias("_id"), F.col("_row").alias("_mark"), (F.col(id_col).eqNullSafe(F.col("best._id")) & (F.col("_row") == F.col("best._row"))).alias("kept"))
-    rows = saved(rows.groupBy("_id", "_mark", "kept").count().where("NOT kept OR count > 1"), "rows")
+    with scratch(docs.sparkSession) as kept:
+        found = saved(find(marked, id_col=id_col, text_col=text_col, carry=("_row",), **options), "found")
+        best = saved(found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("_id"), F.col("_row"))).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "best")
+        is_best = F.col(id_col).eqNullSafe(F.col("best._id")) & (F.col("_row") == F.col("best._row"))
+        rows = found.join(best, "root").select(F.col(id_col).alias("_id"), F.col("_row").alias("_mark"), is_best.alias("kept"))
+        rows = kept(saved(rows.groupBy("_id", "_mark", "kept").count().where("NOT kept OR count > 1"), "rows"))
+    few = rows.count() <= FEW_NODES  # else by shuffle
+    side = lambda df: F.broadcast(df) if few else df
     same = F.col("_row").eqNullSafe(F.col("_mark")) & F.col(id_col).eqNullSafe(F.col("_id"))
-    left = marked.join(rows.where("NOT kept"), same, "left_anti")
-    repeated = rows.where("kept")
-    if repeated.isEmpty():
+    left = marked.join(side(rows.where("NOT kept")), same, "left_anti")
+    repeated = side(rows.where("kept"))
+    if rows.where("kept").isEmpty():
         return left.select(*columns)
     once = left.join(repeated, same, "left_semi").dropDuplicates([id_col, "_row"])
     return left.join(repeated, same, "left_anti").select(*columns).unionByName(once.select(*columns))

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, extra and clashing columns."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -333,11 +334,20 @@ def test_one_row_of_each_component_stays(spark, find):
     assert kept == sorted([(5, a), (2, b), (None, c), (9, d), (5, c + " " + d)], key=str)
 
 
-def test_bands():
-    for n in (0, 1000, 10**7, 10**10):
-        found = simhash.bands(n, 0.8, 0.95)
-        p = (1 - simhash.differing(0.8)) ** len(found[0])
-        assert 1 - (1 - p) ** len(found) >= 0.95 and all(len(set(b)) == len(b) for b in found)
+def test_partitions_of_similar_sets_meet():
+    rng, classes, counts = np.random.default_rng(4), simhash.Classes(0.8), np.zeros(simhash.SLOTS, np.uint32)
+    assert classes.of(1) == classes.of(16) == 0 and classes.of(17) == 1 and all(classes.last[classes.of(n)] < n <= classes.last[classes.of(n) + 1] for n in range(1, 3000))
+    for n in [*range(1, 60), 100, 333, 1000, 2500]:
+        for m in sorted({math.ceil(0.8 * n - 1e-9), (9 * n + 9) // 10, n}):
+            for _ in range(5):
+                common = math.ceil(0.8 / 1.8 * (n + m) - 1e-9)  # just similar
+                if common > m:
+                    continue
+                pool = np.unique(rng.integers(0, 2**64 - 1, n + m, np.uint64))
+                rng.shuffle(pool)
+                a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n : n + m - common]]))
+                (va, fa), (vb, fb) = simhash.set_entries(a, classes, counts), simhash.set_entries(b, classes, counts)
+                assert set(va[(fa & simhash.PROBE) > 0].tolist()) & set(vb[(fb & simhash.INDEX) > 0].tolist()), (n, m)
 
 
 def test_plan_is_a_general_pigeonhole():
