@@ -3,7 +3,7 @@
 Bytes are embedded, filters of several widths slide over a window, each filter
 keeps its maximum over the window (max pooling), and a softmax layer gives the
 languages. Training is plain numpy (Adam) on the driver over a bounded sample of
-labelled documents. A text is cut into windows of ``WINDOW`` bytes that overlap by
+labelled windows. A text is cut into windows of ``WINDOW`` bytes that overlap by
 the widest filter less one, so every byte run of every whole text is seen; the
 windows' log-probabilities are averaged by the bytes they hold.
 
@@ -18,14 +18,15 @@ empty text teach nothing. Input columns named like outputs are replaced.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mirrorlake.deploy import ship
 from mirrorlake.llm.common import binary_values, without
 
 WIDTHS = (2, 3, 4)
@@ -33,13 +34,11 @@ WINDOW = 256
 STEP = WINDOW - max(WIDTHS) + 1
 FILTERS = 12
 EMBED = 8
-#: Documents a language that training takes, about; the sample's bound.
-SAMPLE_PER_LANGUAGE = 600
-#: Windows a document that training takes, from places spread over the whole text.
-SAMPLE_WINDOWS = 4
+#: Labelled rows (windows of whole texts) a language that training takes, about; languages that it learns, the most frequent ones.
+SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 2400, 200
 EPOCHS = 6
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SLAB = 192
 
 
@@ -119,9 +118,12 @@ class Predictor:
 
     def __init__(self, net: ByteConvNet):
         self.net, (self.first, self.later) = net, net.tables()
+        blanks = 0x2020
+        self.blank = self.first[blanks].copy()
+        self.blank[FILTERS:] += self.later[blanks]
 
-    def log_probs(self, data: np.ndarray) -> np.ndarray:
-        """Of each window: ``data`` is a whole number of steps and 3 bytes more."""
+    def log_probs(self, data: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+        """Of each window: ``data`` is a whole number of steps and 3 bytes more. After the windows ``last``, which end in 3 blanks, come blanks, whatever ``data`` has there."""
         pairs = data[:-1].astype(np.int32) * 256 + data[1:]
         n = (len(data) - max(WIDTHS) + 1) // STEP
         pooled = np.empty((n, self.first.shape[1]), np.float32)
@@ -130,7 +132,10 @@ class Predictor:
             a, b = i * STEP, (i + k) * STEP
             z = self.first.take(pairs[a:b], axis=0)
             z[:, FILTERS:] += self.later.take(pairs[a + 2 : b + 2], axis=0)
-            z.reshape(k, STEP, -1).max(axis=1, out=pooled[i : i + k])
+            z = z.reshape(k, STEP, -1)
+            if last is not None:
+                z[last[(last >= i) & (last < i + k)] - i, STEP - max(WIDTHS) + 1 :] = self.blank
+            z.max(axis=1, out=pooled[i : i + k])
         z = np.maximum(pooled, 0) @ self.net.p["D"] + self.net.p["c"]
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
@@ -142,7 +147,7 @@ class Predictor:
             return [(UNDETERMINED, 0.0)] * len(texts)
         counts = np.array([len(p) // STEP for p in parts])
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        logp = self.log_probs(np.frombuffer(b"".join([*parts, b"   "]), np.uint8)).astype(np.float64)
+        logp = self.log_probs(np.frombuffer(b"".join([*parts, b"   "]), np.uint8), starts + counts - 1).astype(np.float64)
         sizes = [len(t) for t, h in zip(texts, has, strict=True) if h]
         weight = np.full(len(logp), float(STEP))
         weight[starts + counts - 1] = [max(1, s - (c - 1) * STEP) for s, c in zip(sizes, counts, strict=True)]
@@ -166,23 +171,24 @@ def train(
     where: Column | None = None,
     per_language: int = SAMPLE_PER_LANGUAGE,
 ) -> ByteConvNet | None:
-    """Fit on about ``per_language`` labelled documents of each language (chosen by hash of the id); None without any."""
+    """Fit on about ``per_language`` windows of each language, chosen by hash among all windows of the labelled texts; None without any."""
+    ship(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0))
     rows = rows if where is None else rows.where(where)
-    have = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    count = F.sum(F.ceil((F.octet_length(text_col) + max(WIDTHS) - 1) / STEP))  # windows
+    most = rows.groupBy(F.col(lang_col).alias("lang")).agg(count.alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    have = {r.lang: min(1.0, per_language / r.n) for r in most.collect()}
     if not have:
         return None
     languages = sorted(have)
-    h = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1_000_000))
-    limit = F.create_map(*[F.lit(x) for k, n in have.items() for x in (k, int(min(1, per_language / n) * 1_000_000))])
 
     def windows(batches):
         for batch in batches:
             out: list[tuple] = []
             for key, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_values(batch.column(2)), strict=True):
                 padded = _padded(text) + b"   "
-                n = (len(padded) - 3) // STEP
-                for i in sorted({k * n // SAMPLE_WINDOWS for k in range(SAMPLE_WINDOWS)}):
+                chance = np.random.default_rng(xxhash.xxh64_intdigest(f"{key} langid")).random((len(padded) - 3) // STEP)
+                for i in np.flatnonzero(chance < have[lang]).tolist():
                     out.append((key, i, lang, padded[i * STEP : i * STEP + WINDOW]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary()))],
@@ -190,7 +196,7 @@ def train(
             )
 
     picked = (
-        rows.where(h < limit[F.col(lang_col)])
+        rows.where(F.col(lang_col).isin(languages))
         .select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
         .mapInArrow(windows, "key long, i long, lang string, window binary")
     )
@@ -206,7 +212,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, *, keep: list[str] | None
     """``keep`` columns (all by default) plus lang_pred and score."""
     docs = without(docs, "lang_pred", "score")
     keep = docs.columns if keep is None else keep
-    model = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand weights
+    model = ship(docs.sparkSession).sparkContext.broadcast(net)  # a few thousand weights
 
     def run(batches):
         use = Predictor(model.value) if model.value else None
