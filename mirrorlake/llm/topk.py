@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mirrorlake.deploy import ship
 from mirrorlake.llm.common import new_dir, saved
 
 BUCKET = 2048
@@ -142,7 +143,7 @@ def top_k(rows: DataFrame, *, queries: Column, k: int = 5, id_col: str = "vec_id
 
     ``queries`` is a condition on ``vec_id``.
     """
-    spark = rows.sparkSession
+    spark = ship(rows.sparkSession)
     good = quantised(rows, id_col, vector_col)
     ranged = saved(good.repartitionByRange(F.desc("norm"), F.asc("vec_id")).sortWithinPartitions(F.desc("norm"), F.asc("vec_id")), "vectors")
     asked = ranged.where(queries)
@@ -171,7 +172,7 @@ def top_k(rows: DataFrame, *, queries: Column, k: int = 5, id_col: str = "vec_id
             some = [i for i in range(len(ids)) if len(search.best[i][0])]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([b * query_block + i for i in some], pa.int64()),
+                    pa.array([(b << 32) + i for i in some], pa.int64()),
                     pa.array([int(ids[i]) for i in some], pa.int64()),
                     pa.array([[{"score": int(s), "vec_id": int(v)} for s, v in zip(*search.best[i], strict=True)] for i in some], pa.list_(pa.struct([("score", pa.int64()), ("vec_id", pa.int64())]))),
                 ],
@@ -183,6 +184,7 @@ def top_k(rows: DataFrame, *, queries: Column, k: int = 5, id_col: str = "vec_id
             found = part
         else:  # a job for each block; the plan doesn't grow with their number
             part.write.mode("append").parquet(folder)
+            use.destroy()
     if found is None:
         found = spark.read.schema("query long, query_id long, best array<struct<score: long, vec_id: long>>").parquet(folder)
     # (query, query_id): a row of at most k pairs from each task
