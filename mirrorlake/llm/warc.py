@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
+from mirrorlake.deploy import ship
 from mirrorlake.llm.common import new_dir, saved, without
 
 #: Payloads from this size on are stored once.
@@ -161,7 +162,8 @@ def _fields(h: dict[str, str]) -> dict[str, str | None]:
     out = {c: h.get(name) for c, name in _HEADERS.items()}
     for c in ("record_id", "refers_to"):
         out[c] = out[c].strip("<>") if out[c] else None
-    out["payload_digest"] = out["payload_digest"].rpartition(":")[2] if out["payload_digest"] else None
+    kind, _, value = (out["payload_digest"] or "").partition(":")
+    out["payload_digest"] = value if kind == "sha256" else out["payload_digest"] or None
     return out
 
 
@@ -191,7 +193,8 @@ def records(f, size: int, gz: bool, wanted, payloads: bool) -> Iterator[tuple[di
                     f.seek(at + start)
                     block = f.read(n)
                 if h.get("content-type", "").startswith("application/http") and n:
-                    block = block[block.index(b"\r\n\r\n") + 4 :]
+                    _, blank, body = block.partition(b"\r\n\r\n")
+                    block = body if blank else block  # malformed without: all of it is payload
                 payload = block
             own = h.get("x-payload-length")
             fields["payload_bytes"] = int(own) if own is not None else len(payload) if payload is not None else None
@@ -219,7 +222,8 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters):
         for f in filters:
             values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if values is not None and len(f.attribute) == 1 and f.attribute[0] in _HEADERS:
+            computed = f.attribute == ("payload_digest",) and self.payload == "digest"
+            if values is not None and len(f.attribute) == 1 and f.attribute[0] in _HEADERS and not computed:
                 self.filters.append((f.attribute[0], values))
             else:
                 yield f
@@ -258,7 +262,8 @@ class WarcReader(DataSourceReader):
                 for fields, payload in records(f, size, name.endswith(".gz"), wanted, self.payload != "none"):
                     if self.payload == "digest" and fields["record_type"] == "response":
                         got = hashlib.sha256(payload).hexdigest()
-                        if fields["payload_digest"] not in (None, got) or fields["payload_bytes"] != len(payload):
+                        told = fields["payload_digest"]
+                        if (told and ":" not in told and told != got) or fields["payload_bytes"] != len(payload):
                             raise ValueError(f"{name}: payload of {fields['record_id']} does not match its header")
                         fields["payload_digest"] = got
                     rows.append(fields | {"payload": payload if self.payload == "full" else None})
@@ -335,6 +340,7 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 
