@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mirrorlake.deploy import ship
 from mirrorlake.llm.common import binary_values, per_task_vector, saved
 
 COMPONENTS = 200
@@ -120,6 +121,7 @@ def document_statistics(docs: DataFrame, *, keep: list[str], text_col: str = "te
             x = [statistics(t).tobytes() for t in binary_values(batch.column(text_col))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(x, pa.binary())], [*keep, "x"])
 
+    ship(docs.sparkSession)
     carried = docs.select(*dict.fromkeys([*keep, text_col]))
     return carried.mapInArrow(run, T.StructType([carried.schema[c] for c in keep] + [T.StructField("x", T.BinaryType())]))
 
@@ -130,6 +132,7 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 def train(rows: DataFrame, *, calibrate: Column, seed: int = 3) -> Model | None:
     """Fit on rows of (x, y); those that ``calibrate`` marks only calibrate. None without labels."""
+    ship(rows.sparkSession)
     rows = rows.select("x", F.col("y").cast("double").alias("y"), F.coalesce(calibrate, F.lit(False)).alias("c"))
 
     def moments(total, batch):
@@ -194,7 +197,7 @@ def fit(stats: DataFrame, labels: DataFrame, *, train_rows: Column, calibrate: C
 def score(stats: DataFrame, model: Model | None) -> DataFrame:
     """The columns of ``stats`` but x, plus score and predicted."""
     keep = [c for c in stats.columns if c not in ("x", "score", "predicted")]
-    use = stats.sparkSession.sparkContext.broadcast(model)  # some thousand numbers
+    use = ship(stats.sparkSession).sparkContext.broadcast(model)  # some thousand numbers
 
     def run(batches):
         for batch in batches:
@@ -209,7 +212,7 @@ def score(stats: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, train_rows: Column, calibrate: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Input columns of the documents with predicted label 1, judged on the text alone."""
+    """Input columns of the documents with predicted label 1, judged on the text alone. Without any label there is nothing to judge by, and all documents stay."""
     stats = saved(document_statistics(docs, keep=[id_col], text_col=text_col), "statistics")
     model = fit(stats, labels, train_rows=train_rows, calibrate=calibrate, id_col=id_col)
     use = docs.sparkSession.sparkContext.broadcast(model)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mirrorlake.deploy import ship
 from mirrorlake.llm.common import without
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -228,7 +229,7 @@ def count_with_edits(
     extra = [T.StructField("text_after", T.StringType()), T.StructField("tree_after", T.BinaryType())] if with_text else []
     docs = without(docs, *_COUNTS.names, *[f.name for f in extra])
     keep = docs.columns if keep is None else keep
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))  # a vocabulary file's size
+    ranks = ship(docs.sparkSession).sparkContext.broadcast(load_ranks(vocabulary))  # a vocabulary file's size
 
     def run(batches):
         counter = Counter(ranks.value)
@@ -255,7 +256,7 @@ def recount(trees: DataFrame, edits: DataFrame, *, vocabulary: str = VOCABULARY,
 
     Documents without edits are returned as they are. Ids are unique in ``trees``.
     """
-    ranks = trees.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
+    ranks = ship(trees.sparkSession).sparkContext.broadcast(load_ranks(vocabulary))
     wanted = edits.groupBy(id_col).agg(F.collect_list(F.struct("start", "stop", "new")).alias("edits"))
     both = trees.select(id_col, "text_after", "tree_after").join(wanted, id_col, "left")
 
