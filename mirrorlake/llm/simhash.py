@@ -28,9 +28,9 @@ is not larger and similar: thresholds are 0 for those probed and none for the ot
 with the least estimated candidates: partitions with the most shingles, or, for sets of up to ``SHORT`` shingles,
 where each shingle is a partition, the rarest by a sketch of counts. A set probes its own size class and those
 of the smaller sets that may be similar. Candidates that a bound by parity bitmaps doesn't rule out (it loses
-none) are decided by the Jaccard similarity of their sets, so every link is a true one. Pairs are tried in three
-rounds: the first members of each list with all others; then, in longer lists that are not of one component yet,
-a spanning forest of the possible pairs in each pair of blocks; then the pairs that are left.
+none) are decided by the Jaccard similarity of their sets, so every link is a true one. Pairs are tried in two rounds:
+a spanning forest of the possible pairs of each list (or pair of blocks of a long one); then, in the lists where
+one of these was refuted, all possible pairs of different components.
 A set is known by a 64-bit hash; a similar pair is missed only if more than 16 shingles of a set fall on fewer
 than d + 1 partitions (below 1e-11 for a set).
 
@@ -68,8 +68,8 @@ _ONE = np.uint64(1)
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Sets of up to so many shingles are found by single shingles.
 SHORT = 16
-#: 64-bit words of a parity bitmap; its bitmaps in one block; members of a list that are compared with all others.
-WORDS, WIDE_BLOCK, CENTRES = 10, 1024, 2
+#: 64-bit words of a parity bitmap; its bitmaps in one block; members of a list that a task holds to look for partners.
+WORDS, WIDE_BLOCK, LONG_LIST = 10, 1024, 200_000
 #: Counters of the sketch that orders shingles; nodes whose texts are found by broadcast (by shuffle beyond).
 SLOTS, FEW_NODES = 1 << 20, 200_000
 _EPS = 1e-9
@@ -555,130 +555,116 @@ def _numbers(batch: pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
     return np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1)
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """Rows sorted by value and node in; those out, once each, whose value is held by several nodes."""
-    names = ("value", "node", "n", "flag")
+def _partnered(rows: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows (value, n, node, flag), sorted, have one in their list that they can meet: a probe and an index of fitting sizes."""
+    value, n, _, flag = rows.T
+    probe, index = (flag & PROBE) > 0, (flag & INDEX) > 0
+
+    def near(mine, theirs, step):
+        """If the next of ``theirs`` in direction ``step`` fits."""
+        at = np.flatnonzero(theirs)
+        here = np.arange(len(rows))
+        k = np.searchsorted(at, here, "left") - 1 if step < 0 else np.searchsorted(at, here, "right")
+        there = (k >= 0) & (k < len(at))
+        x = at[np.clip(k, 0, max(0, len(at) - 1))] if len(at) else here
+        return mine & there & (value[x] == value) & _may(n, n[x], similarity), there & (n[x] == n)
+
+    smaller, _ = near(probe, index, -1)
+    equal, same = near(probe, index, 1)
+    larger, _ = near(index, probe, 1)
+    equal2, same2 = near(index, probe, -1)
+    return smaller | (equal & same) | larger | (equal2 & same2)
+
+
+def _shared(entries: DataFrame, similarity: float) -> DataFrame:
+    """Rows sorted by value, n and node in; those out, once each, that have a partner in their list."""
+    names = ("value", "n", "node", "flag")
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, i].astype(t)) for i, t in enumerate((np.int64, np.int32, np.int64, np.int8))], list(names))
 
     def run(batches):
-        rest, tied = np.empty((0, 4), np.int64), False  # the last row, and if the one before has its value
+        rest, open_value = np.empty((0, 4), np.int64), None
         for batch in itertools.chain(batches, [None]):
             rows = rest if batch is None else np.concatenate([rest, _numbers(batch, names)])
             if not len(rows):
                 continue
             new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+            new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
             rows = rows[new]
-            same = rows[1:, 0] == rows[:-1, 0]
-            several = np.concatenate([[tied], same]) | np.concatenate([same, [False]])
-            if batch is not None:
-                rest, tied = rows[-1:], bool(several[-1])
-                rows, several = rows[:-1], several[:-1]
-            out = rows[several]
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, i].astype(t)) for i, t in enumerate((np.int64, np.int64, np.int32, np.int8))], list(names))
-
-    return entries.repartition("value").sortWithinPartitions("value", "node").mapInArrow(run, "value long, node long, n int, flag byte")
-
+            cut = len(rows) if batch is None else int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            whole, rest = rows[:cut], rows[cut:].copy()
+            if len(whole):
+                keep = _partnered(whole, similarity)
+                if open_value is not None:  # a part of this list went out before: all of it does
+                    keep |= whole[:, 0] == open_value
+                yield made(whole[keep])
+            if len(rest) > LONG_LIST:
+                open_value = int(rest[0, 0])
+                yield made(rest[:-1])
+                rest = rest[-1:]
 
-def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
-def _first_pairs(lists: DataFrame, similarity: float, centres: int) -> DataFrame:
-    """Pairs (a, b) of the first ``centres`` of each list with all others, where one probes, the other is indexed, and their sizes fit."""
-
-    def run(batches):
-        held, had = np.empty((0, 4), np.int64), 0  # the first of the list that the last batch ended in
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            had = len(held)
-            rows = np.concatenate([held, _numbers(batch, ("value", "node", "n", "flag"))])
-            value, node, n, flag = rows.T
-            start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-            own = np.repeat(start, np.diff(np.append(start, len(value))))
-            at = np.arange(len(value))
-            found = []
-            for c in range(centres):
-                y = at[(at - own > c) & (at >= had)]
-                x = own[y] + c
-                longer = ((flag[x] & PROBE) > 0) & ((flag[y] & INDEX) > 0) & (n[x] >= n[y])
-                shorter = ((flag[y] & PROBE) > 0) & ((flag[x] & INDEX) > 0) & (n[y] >= n[x])
-                good = _may(n[x], n[y], similarity) & (longer | shorter)
-                found.append((node[x[good]], node[y[good]]))
-            yield _pair_batch(*map(np.concatenate, zip(*found, strict=True)))
-            held = rows[start[-1] : start[-1] + centres].copy()
-
-    return lists.repartition("value").sortWithinPartitions("value", "node").mapInArrow(run, "a long, b long").distinct()
+    return entries.repartition("value").sortWithinPartitions(*names[:3]).mapInArrow(run, "value long, n int, node long, flag byte")
 
 
 def _wide(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(v.as_py() for v in column), np.uint64).reshape(-1, WORDS)
 
 
-def _near(n: np.ndarray, m: np.ndarray, apart: np.ndarray, similarity: float) -> np.ndarray:
-    return _may(n, m, similarity) & (apart <= most_apart(n, m, similarity))
-
-
-def _possible(pairs: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose parity bitmaps don't rule the similarity out."""
-
-    def run(batches):
-        for batch in batches:
-            apart = np.bitwise_count(_wide(batch.column("fp_a")) ^ _wide(batch.column("fp_b"))).sum(1, dtype=np.int64)
-            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(_near(n, m, apart, similarity)))
-
-    x, y = (named.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b"))
-    return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
-
 
 def _block_pairs(dealt: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """Rows sorted by list and blocks in; pairs (a, b) of different components that may be similar, or a spanning forest of components by such pairs."""
-
-    def run(batches):
-        keys, nodes, fps = np.empty((0, 3), np.int64), np.empty((0, 3), np.int64), np.empty((0, WORDS), np.uint64)
-
-        def thinned(node, root, a, b):
-            """Of the pairs, those that join components which none before has joined."""
-            ends = np.stack([np.minimum(root[a], root[b]), np.maximum(root[a], root[b])], axis=1)
-            _, at = np.unique(ends, axis=0, return_index=True)
-            joined = _Union()
-            use = [i for i in at.tolist() if joined.join(*ends[i].tolist())]
-            return node[a[use]], node[b[use]]
-
-        def pairs(keys, nodes, fps):
-            """Whole lists in."""
-            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
-            for lo, hi in itertools.pairwise(cuts.tolist()):
-                (node, root, n), fp = nodes[lo:hi].T, fps[lo:hi]
-                held = []
-                for i in range(0, hi - lo, 128):
-                    rows = slice(i, i + 128)
-                    apart = np.zeros((len(node[rows]), hi - lo), np.int64)
+    """Rows sorted by list and blocks in; pairs (a, b, value) of different components that may be similar, or a spanning forest of the components of a block by such pairs."""
+
+    def thinned(root, a, b):
+        """Of the pairs, those that join components which none before has joined."""
+        joined = _Union()
+        use = [i for i, (x, y) in enumerate(zip(root[a].tolist(), root[b].tolist(), strict=True)) if joined.join(x, y)]
+        return a[use], b[use]
+
+    def pairs(keys, nodes, fps):
+        """Whole lists in."""
+        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
+        out = []
+        for lo, hi in itertools.pairwise(cuts.tolist()):
+            (node, root, n, flag), fp = nodes[lo:hi].T, fps[lo:hi]
+            probe, index = (flag & PROBE) > 0, (flag & INDEX) > 0
+            held = []
+            for i in range(0, hi - lo, 128):
+                rows = slice(i, i + 128)
+                fits = (probe[rows, None] & index[None] & (n[rows, None] >= n[None])) & _may(n[rows, None], n[None], similarity) & (root[rows, None] != root[None])
+                a, b = np.nonzero(fits)
+                if 4 * len(a) < fits.size:
+                    apart = np.bitwise_count(fp[i + a] ^ fp[b]).sum(1, dtype=np.int64)
+                else:
+                    apart = np.zeros(fits.shape, np.int64)
                     for w in range(WORDS):
                         apart += np.bitwise_count(fp[rows, w, None] ^ fp[None, :, w])
-                    near = _near(n[rows, None], n[None], apart, similarity) & (root[rows, None] != root[None]) & (node[rows, None] < node[None])
-                    a, b = np.nonzero(near)
-                    held.append((a + i, b))
-                a, b = map(np.concatenate, zip(*held, strict=True))
-                if len(a):
-                    yield _pair_batch(*(thinned(node, root, a, b) if forest else (node[a], node[b])))
+                    apart = apart[a, b]
+                near = apart <= most_apart(n[i + a], n[b], similarity)
+                a, b = i + a[near], b[near]
+                held.append(thinned(root, a, b) if forest else (a, b))
+            a, b = map(np.concatenate, zip(*held, strict=True))
+            if forest:
+                a, b = thinned(root, a, b)
+            out.append((np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), np.full(len(a), keys[lo, 0])))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b", "value"])
 
+    def run(batches):
+        keys, nodes, fps = np.empty((0, 3), np.int64), np.empty((0, 4), np.int64), np.empty((0, WORDS), np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, nodes = np.concatenate([keys, _numbers(batch, ("value", "lo", "hi"))]), np.concatenate([nodes, _numbers(batch, ("node", "root", "n"))])
+            keys, nodes = np.concatenate([keys, _numbers(batch, ("value", "lo", "hi"))]), np.concatenate([nodes, _numbers(batch, ("node", "root", "n", "flag"))])
             fps = np.concatenate([fps, _wide(batch.column("fp"))])
             other = np.flatnonzero((keys != keys[-1]).any(1))
             if len(other):
                 end = int(other[-1]) + 1
-                yield from pairs(keys[:end], nodes[:end], fps[:end])
+                yield pairs(keys[:end], nodes[:end], fps[:end])
                 keys, nodes, fps = keys[end:].copy(), nodes[end:].copy(), fps[end:].copy()
         if len(keys):
-            yield from pairs(keys, nodes, fps)
+            yield pairs(keys, nodes, fps)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, value long").distinct()
 
 
 def _decided(pairs: DataFrame, named: DataFrame, docs: DataFrame, text_col: str, k: int, similarity: float) -> DataFrame:
@@ -707,28 +693,23 @@ def _decided(pairs: DataFrame, named: DataFrame, docs: DataFrame, text_col: str,
     return saved(pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(decide, "a long, b long"), "near")
 
 
-def similar_links(entries: DataFrame, named: DataFrame, docs: DataFrame, *, text_col: str, k: int, similarity: float, block: int = WIDE_BLOCK, centres: int = CENTRES) -> DataFrame:
+def similar_links(entries: DataFrame, named: DataFrame, docs: DataFrame, *, text_col: str, k: int, similarity: float, block: int = WIDE_BLOCK) -> DataFrame:
     """Links (a, b) between nodes; transitively, all pairs whose shingle sets are at ``similarity``, and no others."""
-    spark = docs.sparkSession
-    lists = saved(_shared(entries), "lists")
-    release(spark)  # the entries' shuffle files, the largest of all
-    tried = saved(_possible(saved(_first_pairs(lists, similarity, centres), "firsts"), named, similarity), "pairs")
-    links = _decided(tried, named, docs, text_col, k, similarity)
-    for forest in (True, False):
-        roots = components(links)
-        rest = saved(lists.join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root")), "rest")
-        mixed = rest.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("members"))
-        mixed = saved(mixed.where("x <> y").where(F.col("members") > centres + 1).select("value"), "mixed")  # smaller lists are done
-        rest = saved(rest.join(mixed, "value", "left_semi").join(named.select("node", "n", "fp"), "node").select(F.lit(0).alias("part"), "value", "node", "root", "n", "fp"), "rest")
-        if rest.isEmpty():
-            break
-        dealt = _dealt(rest, saved(_large(rest, block), "large"), "node")
-        keys = ["value", "lo", "hi"]
-        pairs = _block_pairs(dealt.repartition(*keys).sortWithinPartitions(*keys), similarity, forest)
-        more = saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = _decided(more, named, docs, text_col, k, similarity)
-        links, tried = links.unionByName(found), tried.unionByName(more)
-    return links
+    lists = saved(_shared(entries, similarity), "lists")
+    release(docs.sparkSession)  # the entries' shuffle files, the largest of all
+    keys = ["value", "lo", "hi"]
+
+    def tried(rows, forest):
+        rows = rows.join(named.select("node", "fp"), "node").select(F.lit(0).alias("part"), "value", "node", "root", "n", "flag", "fp")
+        dealt = _dealt(rows, _large(rows, block), "node")
+        return _block_pairs(dealt.repartition(*keys).sortWithinPartitions(*keys), similarity, forest)
+
+    first = saved(tried(lists.withColumn("root", F.col("node")), True), "pairs")
+    links = _decided(first.select("a", "b").distinct(), named, docs, text_col, k, similarity)
+    refuted = saved(first.join(links, ["a", "b"], "left_anti").select("value").distinct(), "refuted")  # only these lists can hold more links
+    rest = lists.join(refuted, "value", "left_semi").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = tried(rest, False).select("a", "b").distinct().join(first.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    return links.unionByName(_decided(saved(more, "pairs"), named, docs, text_col, k, similarity))
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, carry: tuple[str, ...] = (), **options) -> DataFrame:

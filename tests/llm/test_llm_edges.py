@@ -320,7 +320,7 @@ def test_similar_is_exact_on_short_and_long_texts(spark):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 and label[i] != label[j]:
                 label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for options in ({}, {"block": 16, "centres": 1}):
+    for options in ({}, {"block": 16}):
         of = {x.doc_id: x.component_id for x in simhash.similar(docs, **options).collect()}
         assert [of[i] for i in range(len(texts))] == label
 
