@@ -16,9 +16,11 @@ def canonical(type_name: str, value: Column) -> Column:
         low = F.lower(value)
         return F.when(low.isin("1", "t", "true"), "true").when(low.isin("0", "f", "false"), "false").otherwise(value)
     if kind.startswith(("decimal", "numeric")):
-        return F.when(value.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), plain_decimal(value)).otherwise(value)
+        plain = value.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$")
+        powered = value.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]{1,3}$")
+        return F.when(plain, plain_decimal(value)).when(powered, plain_decimal(without_exponent(value))).otherwise(value)
     if kind in ("json", "jsonb"):
-        return F.coalesce(F.to_json(F.try_parse_json(value)), value)
+        return canonical_json(value)
     if "datetime" in kind or kind.startswith("timestamp"):
         return F.regexp_replace(value, "^([^T]*)T", "$1 ")
     if kind.startswith("character(") or kind.startswith("char("):
@@ -26,6 +28,28 @@ def canonical(type_name: str, value: Column) -> Column:
     return value
 
 
+def without_exponent(value: Column) -> Column:
+    """Decimal text with an exponent as text without one; exact."""
+    sign = F.when(value.startswith("-"), "-").otherwise("")
+    whole, part, power = (F.regexp_extract(value, r"^[+-]?([0-9]*)\.?([0-9]*)[eE]([+-]?[0-9]+)$", i) for i in (1, 2, 3))
+    digits, point = F.concat(whole, part), F.length(whole) + power.cast("int")
+    padded = F.concat(F.repeat(F.lit("0"), F.greatest(-point, F.lit(0))), digits, F.repeat(F.lit("0"), F.greatest(point - F.length(digits), F.lit(0))))
+    at = F.greatest(point, F.lit(0))
+    return F.concat(sign, F.lit("0"), F.substr(padded, F.lit(1), at), F.lit("."), F.substr(padded, at + 1))
+
+
+def canonical_json(value: Column) -> Column:
+    """JSON with ordered names and without blanks; what is no JSON, or has a number that no double holds, stays as it is.
+
+    The parser takes what follows a value for nothing, so the value is read as the one member of a list and of an object.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
+    alone = (F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1) & F.try_parse_json(F.concat(F.lit('{"v":'), value, F.lit("}"))).isNotNull()
+    text = F.to_json(F.try_variant_get(listed, "$[0]", "variant"))
+    overflow = F.lit('"-?Infinity"')
+    return F.when(alone & (F.regexp_count(text, overflow) <= F.regexp_count(value, overflow)), text).otherwise(value)
+
+
 def plain_decimal(value: Column) -> Column:
     """Decimal text without sign of zero, plus sign, leading and trailing zeros; exact at any length."""
     body = F.regexp_replace(value, r"^[+-]", "")

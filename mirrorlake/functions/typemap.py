@@ -19,7 +19,7 @@ _MYSQL = {
     "tinyint": "smallint", "smallint": "smallint", "mediumint": "integer", "int": "integer", "integer": "integer", "bigint": "bigint",
     "float": "real", "double": "double precision", "tinytext": "text", "text": "text", "mediumtext": "text", "longtext": "text",
     "tinyblob": "bytea", "blob": "bytea", "mediumblob": "bytea", "longblob": "bytea", "binary": "bytea", "varbinary": "bytea",
-    "date": "date", "datetime": "timestamp", "timestamp": "timestamp", "time": "time", "json": "jsonb",
+    "date": "date", "datetime": "timestamp without time zone", "timestamp": "timestamp without time zone", "time": "time without time zone", "json": "jsonb",
 }
 # SQL Server base types; fixed values.
 _MSSQL = {
@@ -27,7 +27,8 @@ _MSSQL = {
     "char": "text", "nchar": "text", "varchar": "text", "nvarchar": "text", "text": "text", "ntext": "text",
     "binary": "bytea", "varbinary": "bytea", "image": "bytea", "timestamp": "bytea", "rowversion": "bytea",
     "money": "numeric(19,4)", "smallmoney": "numeric(10,4)", "uniqueidentifier": "uuid",
-    "date": "date", "datetime": "timestamp", "datetime2": "timestamp", "smalldatetime": "timestamp", "time": "time",
+    "date": "date", "datetime": "timestamp without time zone", "datetime2": "timestamp without time zone", "smalldatetime": "timestamp without time zone",
+    "time": "time without time zone",
 }
 _ARGS = re.compile(r"^([a-z0-9 ]+?)\s*(?:\(([^)]*)\))?( unsigned)?$")
 _ZONED = re.compile(r"^(timestamp|time)(?:\([0-6]\))? (with|without) time zone$")

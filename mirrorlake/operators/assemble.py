@@ -100,3 +100,49 @@ def outbox_statements(events: DataFrame, values: DataFrame) -> DataFrame:
     checked = per.withColumn("row_values", F.when(F.col("n") == F.col("top"), F.col("row_values")).otherwise(F.raise_error(F.lit("outbox values are not dense"))))
     first = events.groupBy("statement_id").agg(F.min("change_id").alias("first_change"), F.max("change_id").alias("last_change"))
     return events.join(checked.select("change_id", "row_values"), "change_id").join(first, "statement_id")
+
+
+# ---- binary logs whose statements open and close transactions ---------------------------------
+
+
+def statement_transactions(frames: DataFrame, *, source: str = "source_id", order: str = "seq", action: str = "action") -> DataFrame:
+    """Rows of the transactions of a log of BEGIN, row events (R), XID, ROLLBACK and other statements (DDL).
+
+    Adds tx (number of the span in its source), ordinal and ``boundary``, the order of the XID that closes it. A BEGIN opens, an
+    XID closes; a ROLLBACK or a DDL statement is a checkpoint between transactions, see ``statement_errors``. Spans that nothing has
+    closed yet are left out.
+    """
+    w = Window.partitionBy(source).orderBy(order)
+    ends = F.when(F.col(action).isin("XID", "ROLLBACK", "DDL"), 1).otherwise(0)
+    spans = frames.withColumn("tx", F.sum(ends).over(w) - ends)  # an end belongs to the span that it closes
+    closed = spans.where(F.col(action) == "XID").select(source, "tx", F.col(order).alias("boundary"))
+    rows = spans.where(F.col(action) == "R").join(closed, [source, "tx"])
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(source, "tx").orderBy(order)).cast("long"))
+
+
+def statement_errors(frames: DataFrame, *, source: str = "source_id", order: str = "seq", action: str = "action") -> DataFrame:
+    """ROLLBACK and DDL frames that come after row events of a transaction which is not closed: such rows can't be taken back."""
+    w = Window.partitionBy(source).orderBy(order)
+    ends = F.when(F.col(action).isin("XID", "ROLLBACK", "DDL"), 1).otherwise(0)
+    spans = frames.withColumn("_tx", F.sum(ends).over(w) - ends)
+    per = spans.groupBy(source, "_tx").agg(F.sum((F.col(action) == "R").cast("int")).alias("_rows"), F.max_by(action, order).alias("_end"), F.max(order).alias("_at"))
+    bad = per.where(F.col("_end").isin("ROLLBACK", "DDL") & (F.col("_rows") > 0)).select(source, F.col("_at").alias(order))
+    return frames.join(bad, [source, order], "left_semi")
+
+
+# ---- checks ------------------------------------------------------------------------------------
+
+
+def pending(events: DataFrame, owner: str, waits: Column) -> DataFrame:
+    """For each owner: events that wait, and all."""
+    return events.groupBy(owner).agg(F.count(F.when(waits, F.lit(1))).alias("pending"), F.count(F.lit(1)).alias("owned"))
+
+
+def applicable(messages: DataFrame, kind: str, kinds: list[str]) -> DataFrame:
+    """Marks (``applied``) the messages whose kind is wanted; the others stay, to be checked and acknowledged."""
+    return messages.withColumn("applied", F.coalesce(F.col(kind).isin(kinds), F.lit(False)))
+
+
+def exists(wanted: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Marks (``there``) the wanted keys that are found."""
+    return wanted.join(found.select(*keys).distinct().withColumn("_there", F.lit(True)), keys, "left").withColumn("there", F.coalesce("_there", F.lit(False))).drop("_there")

@@ -48,3 +48,10 @@ def add_columns(table: DataFrame, columns: dict[str, str]) -> DataFrame:
 def check_complete(configured: set[tuple[str, str]], sent: set[tuple[str, str]]) -> None:
     if configured != sent:
         raise SchemaError(f"schema set lacks {sorted(configured - sent)}, has besides {sorted(sent - configured)}")
+
+
+def incomplete(configured: DataFrame, sent: DataFrame, keys: list[str]) -> DataFrame:
+    """Tables that were sent but not configured (``extra``), or configured but not sent (``missing``)."""
+    a, b = configured.select(*keys).distinct(), sent.select(*keys).distinct()
+    extra = b.join(a, keys, "left_anti").select(*keys, F.lit(True).alias("extra"), F.lit(False).alias("missing"))
+    return extra.unionByName(a.join(b, keys, "left_anti").select(*keys, F.lit(False).alias("extra"), F.lit(True).alias("missing")))

@@ -106,3 +106,26 @@ def split_embedded(rows: DataFrame, column: str, content_column: str) -> DataFra
         *[c for c in rows.columns if c not in (column, f"{column}__source", f"{column}__encoding")],
         F.col(f"{column}__source").alias(column), F.unbase64(column).alias(content_column),
     )
+
+
+def totals(manifest: DataFrame, by: list[str], size: str = "size") -> DataFrame:
+    """Files and bytes of each group."""
+    return manifest.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.sum(F.col(size).cast("long")).alias("bytes"))
+
+
+def message_errors(messages: DataFrame, *, max_bytes: int) -> DataFrame:
+    """Adds ``error`` to file messages (kind, path, operation, transaction, size, chunks, sha256, data): what is wrong first, or null."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    batch = F.col("kind").isin("file_begin", "file_chunk", "file_end")
+    delete = F.col("kind") == "file_delete"
+    in_limits = ~empty("transaction") & F.coalesce((F.col("size") >= 0) & (F.col("size") <= max_bytes) & (F.col("chunks") > 0), F.lit(False))
+    error = (
+        F.when(~F.coalesce(safe_path(F.col("path")), F.lit(False)), "path")
+        .when(~F.coalesce(batch | delete, F.lit(False)), "kind")
+        .when(delete, F.when(~F.coalesce(F.col("operation") == "delete", F.lit(False)) | ~empty("transaction") | ~empty("data"), "operation"))
+        .when(~F.coalesce(F.col("operation").isin("create", "update"), F.lit(False)), "operation")
+        .when(~in_limits, "limits")
+        .when(~F.coalesce(F.col("sha256").rlike("^[0-9a-fA-F]{64}$"), F.lit(False)), "digest")
+        .when((F.col("kind") != "file_chunk") & ~empty("data"), "content")
+    )
+    return messages.withColumn("error", error)

@@ -532,7 +532,7 @@ def update_mask_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TYPE_CASES = [
     ("mysql", "tinyint(4)", "smallint"), ("mysql", "int unsigned", "numeric(20,0)"), ("mysql", "varchar(40)", "character varying(40)"), ("mysql", "decimal(10,2)", "numeric(10,2)"),
-    ("mysql", "longblob", "bytea"), ("mysql", "datetime(6)", "timestamp"), ("sqlserver", "money", "numeric(19,4)"), ("sqlserver", "nvarchar(max)", "text"), ("sqlserver", "bit", "boolean"),
+    ("mysql", "longblob", "bytea"), ("mysql", "datetime(6)", "timestamp without time zone"), ("sqlserver", "money", "numeric(19,4)"), ("sqlserver", "nvarchar(max)", "text"), ("sqlserver", "bit", "boolean"),
     ("sqlserver", "rowversion", "bytea"), ("sqlserver", "uniqueidentifier", "uuid"), ("postgres", "double precision", "double precision"), ("postgres", "timestamp(3) with time zone", "timestamp(3) with time zone"),
 ]
 

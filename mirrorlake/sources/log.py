@@ -8,6 +8,8 @@ delivered <= ready <= next.
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
@@ -52,6 +54,11 @@ class Manifests:
         with self.fs.open_input_stream(f"{self.path}/manifests/{names[-1]}") as f:
             return json.loads(f.read())
 
+    def written(self, folder: str) -> float:
+        """When a data folder was put in place, in seconds."""
+        path = folder.split("://", 1)[-1].removeprefix("file:")
+        return self.fs.get_file_info(path).mtime.timestamp()
+
     def commit(self, number: int, content: dict) -> None:
         name = f"{self.path}/manifests/{number:012d}.json"
         if self.fs.get_file_info(name).type != pafs.FileType.NotFound:
@@ -59,7 +66,20 @@ class Manifests:
         draft = f"{self.path}/manifests/.{uuid.uuid4().hex}"
         with self.fs.open_output_stream(draft, compression=None) as f:
             f.write(json.dumps(content, default=str).encode())
-        self.fs.move(draft, name)
+        if isinstance(self.fs, pafs.LocalFileSystem):
+            try:
+                os.link(draft, name)  # fails where the name is taken, whoever comes at the same time
+            except FileExistsError:
+                raise TransientError(f"manifest {number} was committed by another writer") from None
+            finally:
+                os.unlink(draft)
+        elif isinstance(self.fs, pafs.HadoopFileSystem):
+            try:
+                self.fs.move(draft, name)  # a rename there doesn't replace
+            except OSError:
+                raise TransientError(f"manifest {number} was committed by another writer") from None
+        else:
+            raise ReplicationError(f"{self.fs.type_name} can't create a manifest exclusively")
 
 
 class Log:
@@ -143,12 +163,45 @@ class Log:
             raise SequenceError(f"acknowledgement through {seq} after {s.delivered_seq} of {s.ready_seq}")
         return self._commit(replace(s, delivered_seq=seq))
 
-    def evict(self, *, max_archive_bytes: int) -> State:
-        """Drop the oldest wholly delivered folders while the archive is too large."""
+    def backfill_lsn(self, lsn: str) -> int:
+        """Give a snapshot's staged messages the position of its boundary; published ones are not touched. How many folders."""
+        staged = []
+        for folder, first, last, size in self._staged:
+            moved = f"{self.root}/data/{uuid.uuid4().hex}"
+            self.spark.read.schema(MESSAGE).parquet(folder).withColumn("lsn", F.lit(lsn)).write.parquet(moved)
+            staged.append((moved, first, last, size))
+        self._staged = staged
+        return len(staged)
+
+    def publish_schema(self, durable: str, schema_hash: str) -> State:
+        """Publish what is staged with the durable position and the schema's hash, in one step."""
+        if not schema_hash:
+            raise ReplicationError("a schema has a hash")
+        s = self.state()
+        s = self._commit(replace(s, folders=s.folders + tuple(self._staged), next_seq=self._next, ready_seq=self._next, durable=durable, schema_hash=schema_hash))
+        self._staged = []
+        return s
+
+    def clear_cleanup(self, token: str) -> State:
+        """Forget the source clean-up that is done; another token than the one kept is refused."""
+        s = self.state()
+        if s.cleanup_token != token:
+            raise ReplicationError("another clean-up is pending")
+        return self._commit(replace(s, cleanup_token=""))
+
+    def evict(self, *, max_archive_bytes: int, max_age_seconds: float | None = None, now: float | None = None) -> State:
+        """Drop the oldest wholly delivered folders while the archive is too large or they are too old."""
         s = self.state()
         folders = list(s.folders)
         done = sum(f[3] for f in folders if f[2] <= s.delivered_seq)
-        while folders and folders[0][2] <= s.delivered_seq and done > max_archive_bytes:
+        oldest = None if max_age_seconds is None else (time.time() if now is None else now) - max_age_seconds
+
+        def old(folder: str) -> bool:
+            if oldest is None:
+                return False
+            return self.manifests.written(folder) < oldest
+
+        while folders and folders[0][2] <= s.delivered_seq and (done > max_archive_bytes or old(folders[0][0])):
             done -= folders.pop(0)[3]
         return self._commit(replace(s, folders=tuple(folders), earliest_seq=folders[0][1] if folders else s.next_seq + 1))
 

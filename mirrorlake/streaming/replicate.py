@@ -82,6 +82,34 @@ class Target:
             fresh.unpersist()
 
 
+    def apply_transactions(self, tables: dict[str, tuple[DataFrame, list[str], list[str]]], ends: DataFrame, *, strict: bool = True) -> dict:
+        """Apply the changes of several tables (name: changes, keys, columns), transaction by transaction, in one commit.
+
+        ``ends`` has a row (seq, tx) for each transaction_end. The envelopes of all tables and the ends are one sequence; what follows
+        the last end stays for the next call, and rows of a transaction without an end are not applied.
+        """
+        state = self.state()
+        upto = ends.where(F.col("seq") > state["applied"]).agg(F.max("seq")).first()[0]
+        if upto is None:
+            return state
+        seqs = ends.select("seq")
+        for changes, _, _ in tables.values():
+            seqs = seqs.unionByName(changes.select("seq"))
+        n, first = seqs.where(F.col("seq").between(state["applied"] + 1, upto)).distinct().agg(F.count(F.lit(1)), F.min("seq")).first()
+        if first != state["applied"] + 1 or n != upto - state["applied"]:
+            raise SequenceError(f"messages after {state['applied']} up to {upto} are not contiguous")
+        written = {}
+        for name, (changes, keys, columns) in tables.items():
+            fresh = changes.where(F.col("seq").between(state["applied"] + 1, upto)).join(ends.select("tx").distinct(), "tx", "left_semi")
+            if fresh.isEmpty():
+                continue
+            base = self.table(name)
+            if strict and (bad := (unmatched(base, fresh, keys) if keys else overdrawn(base, fresh, columns, "seq")).first()):
+                raise MatchError(f"change {bad['seq']} of {name} doesn't hit exactly one row")
+            written[name] = self._write(apply_fold(base, fold(fresh, keys, columns), keys, columns) if keys else apply_signed(base, fresh, columns))
+        return self._commit(state, tables={**state["tables"], **written}, applied=upto)
+
+
 def replicate(changes: DataFrame, target: Target, name: str, keys: list[str], columns: list[str], checkpoint: str, *, strict: bool = False, available_now: bool = True):
     """Start the streaming query; a batch's rows are applied in ``seq`` order."""
 
