@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import posixpath
 from dataclasses import MISSING, dataclass, field, fields
 
 ENGINES = ("postgres", "mysql", "sqlserver", "sqlserver-legacy", "files")
@@ -103,3 +104,36 @@ def check(config: Config) -> None:
         raise ConfigError("limits are positive")
     if n.batch_bytes > n.queue_bytes or n.max_row_bytes > n.queue_bytes:
         raise ConfigError("a batch or row doesn't fit the queue")
+
+
+@dataclass(frozen=True)
+class Storage:
+    """Where a capture's files go: a folder, or a bucket of an endpoint, and a prefix in it."""
+
+    backend: str
+    place: str
+    prefix: str = ""
+    endpoint: str = ""
+
+    def parts(self) -> tuple:
+        """Path parts that start with what names the store."""
+        if self.backend == "directory":
+            return ("directory", *[p for p in os.path.abspath(os.path.join(self.place, self.prefix)).split(os.sep) if p])
+        return ("object", self.endpoint.lower(), self.place, *[p for p in posixpath.normpath("/" + self.prefix).split("/") if p])
+
+
+def storage_overlaps(storages: dict[str, Storage]) -> list[tuple[str, str]]:
+    """Pairs of captures of which one's folder is, or holds, the other's."""
+    named = sorted((s.parts(), name) for name, s in storages.items())
+    return sorted(tuple(sorted((a, b))) for i, (p, a) in enumerate(named) for q, b in named[i + 1 :] if q[: len(p)] == p)
+
+
+def target_overlaps(targets: dict[str, tuple[str, str, list[str]]]) -> list[tuple[str, str, str]]:
+    """(table, first, other) where two captures write one table; a target is the instance's id, its schema and the tables."""
+    owner, found = {}, []
+    for name, (instance, schema, tables) in sorted(targets.items()):
+        for table in tables:
+            first = owner.setdefault((instance, schema, table), name)
+            if first != name:
+                found.append((f"{schema}.{table}", first, name))
+    return found

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirrorlake.functions.canonical import identity_hash, row_hash
@@ -68,6 +68,18 @@ def mismatches(source: DataFrame, target: DataFrame) -> int:
     return compare(source, target).count()
 
 
+def verdict(source: DataFrame, target: DataFrame) -> DataFrame:
+    """One row: matches, and how many buckets differ, compared place by place; of lists of different length, the longer one's buckets.
+
+    A list has one row for each bucket, so the window's single task holds no more than their number.
+    """
+    place = F.row_number().over(Window.orderBy("bucket")).alias("place")
+    s, t = (df.select(place, F.struct("bucket", "rows", "digest").alias(side)) for df, side in ((source, "s"), (target, "t")))
+    counted = s.join(t, "place", "full_outer").agg(F.count("s").alias("n"), F.count("t").alias("m"), F.count_if(~F.col("s").eqNullSafe(F.col("t"))).alias("differ"))
+    found = F.when(F.col("n") != F.col("m"), F.greatest("n", "m")).otherwise(F.col("differ"))
+    return counted.select((found == 0).alias("matches"), found.alias("mismatches"))
+
+
 def drifted_rows(source: DataFrame, target: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of one side only, as multisets; meant for the mismatched buckets."""
     signed = reduce(DataFrame.unionByName, [df.select(*columns, F.lit(n).alias("_n")) for df, n in ((source, 1), (target, -1))])

@@ -189,6 +189,18 @@ class Log:
             raise ReplicationError("another clean-up is pending")
         return self._commit(replace(s, cleanup_token=""))
 
+    def authorize_repair(self) -> State:
+        """Allow one repair of the target."""
+        return self._commit(replace(self.state(), extra={**self.state().extra, "repair_authorized": True}))
+
+    def consume_repair_authorization(self) -> bool:
+        """If a repair was allowed; the permission is gone then. Of two that ask at once, one gets it, as manifests are exclusive."""
+        s = self.state()
+        if not s.extra.get("repair_authorized"):
+            return False
+        self._commit(replace(s, extra={k: v for k, v in s.extra.items() if k != "repair_authorized"}))
+        return True
+
     def evict(self, *, max_archive_bytes: int, max_age_seconds: float | None = None, now: float | None = None) -> State:
         """Drop the oldest wholly delivered folders while the archive is too large or they are too old."""
         s = self.state()

@@ -33,7 +33,7 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(entry._engine()[0]))
 def test_query_equals_sql(spark, con, name):
     df = catalog.QUERIES[name](spark, str(DATA))
     columns = sorted(df.columns)
