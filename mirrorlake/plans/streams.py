@@ -159,12 +159,12 @@ def lsn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.hex("n").alias("lsn"), values.lsn_after(F.unhex(F.lpad(F.hex("n"), 20, "0")), F.unhex(F.lit("7FFF".rjust(20, "0")))).alias("later"))
 
 
-@query("""SELECT event_id, '{"a":' || event_id || ',"b":{"x":"' || event_type || '","y":[1,2]}}' AS sorted_names, '{"a": ' || event_id || '} x' AS trailing, '[1E400,' || event_id || ']' AS beyond, (event_id::BIGINT * 1000)::VARCHAR AS powered FROM events""")
+@query("""SELECT event_id, '{"a":' || event_id || ',"b":{"x":"' || event_type || '","y":[1,2]}}' AS sorted_names, '{"a": ' || event_id || '} x' AS with_tail, '[1E400,' || event_id || ']' AS beyond, (event_id::BIGINT * 1000)::VARCHAR AS powered FROM events""")
 def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON and decimals with exponents of the table's own values."""
     i, json = F.col("event_id").cast("string"), lambda c: canonical.canonical("jsonb", c)
     return read(spark, sf_dir, "events").select(
-        "event_id", json(F.concat(F.lit('{ "b" : {"y":[1, 2],"x":"'), "event_type", F.lit('"}, "a":'), i, F.lit("}"))).alias("sorted_names"), json(F.concat(F.lit('{"a": '), i, F.lit("} x"))).alias("trailing"),
+        "event_id", json(F.concat(F.lit('{ "b" : {"y":[1, 2],"x":"'), "event_type", F.lit('"}, "a":'), i, F.lit("}"))).alias("sorted_names"), json(F.concat(F.lit('{"a": '), i, F.lit("} x"))).alias("with_tail"),
         json(F.concat(F.lit("[1E400,"), i, F.lit("]"))).alias("beyond"), canonical.canonical("numeric", F.concat(i, F.lit(".0e+3"))).alias("powered"),
     )
 
