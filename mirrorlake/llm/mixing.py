@@ -10,7 +10,8 @@ Period p serves min(a, max(0, n - p a)) blocks of a source with n blocks, so it
 slot sum(min(n, p a)), and the pattern of a period changes only where a source runs out.
 All positions follow from arithmetic and a small table of patterns; no row waits for
 another. Order within a source is by MD5 of the id; ranks are taken in buckets of an MD5
-prefix, so no task orders a whole source, however large it is.
+prefix, so no task orders a whole source, however large it is; what the buckets before hold
+is summed in two levels of the prefix.
 
 Sources without a weight of their own, and null, form one pool named ``*`` with the rest
 weight, so there are at most len(weights) + 1 pools and the pattern table is bounded by
@@ -96,7 +97,11 @@ def schedule(
     ).withColumn("_bucket", F.substring("_key", 1, digits))
     # ranks: inside a bucket by window, plus what the buckets before it hold
     sizes = dealt.groupBy("_pool", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.selectExpr("_pool", "_bucket", "sum(_n) OVER (PARTITION BY _pool ORDER BY _bucket) - _n AS _before")
+    # summed in two levels, so that no window holds more than the square root of the buckets
+    fine = sizes.withColumn("_part", F.substring("_bucket", 1, digits // 2))
+    parts = fine.groupBy("_pool", "_part").agg(F.sum("_n").alias("_n")).selectExpr("_pool", "_part", "sum(_n) OVER (PARTITION BY _pool ORDER BY _part) - _n AS _start")
+    within = fine.selectExpr("_pool", "_part", "_bucket", "sum(_n) OVER (PARTITION BY _pool, _part ORDER BY _bucket) - _n AS _inside")
+    before = within.join(parts, ["_pool", "_part"]).selectExpr("_pool", "_bucket", "_start + _inside AS _before")
     per_pool = sizes.groupBy("_pool").agg(F.ceil(F.sum("_n") / block_docs).cast("long").alias("_blocks"))
     ranked = (
         dealt.selectExpr("*", "row_number() OVER (PARTITION BY _pool, _bucket ORDER BY _key, _tie) - 1 AS _local")
