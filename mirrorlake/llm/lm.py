@@ -17,16 +17,18 @@ stretches; a stretch reads the ``order - 1`` tokens before it from the root with
 to the state that the whole text before it leads to, since no state remembers more.
 
 The model is never gathered anywhere. Each task encodes its documents into chunks of a few MB of text, which
-are written to the shared folder once. A chunk asks for the training counts of its distinct n-grams and hands in
-its own (summed before the shuffle). Requests are dealt by range of the n-gram's hash into buckets of bounded
-size, as byte planes of sorted differences; a bucket adds the counts up and answers each chunk, which then
-builds the part of the automaton that its texts can traverse. A chunk makes a request for each bucket in which
-it has n-grams, so work follows the number of n-grams.
+are written to the shared folder. First a chunk hands in the training counts of its distinct words, dealt by range of
+their hash; it gets the words' counts in all chunks and, for words that another chunk holds too, their numbers. An n-gram
+of such words alone may occur elsewhere: the chunk asks for its training count and hands in its own (summed before
+the shuffle). Other n-grams are the chunk's own. Requests are dealt by a hash of the n-gram into buckets of bounded
+size, as byte planes of sorted differences of the n-gram's word numbers, written as one number (or a few, where
+that would pass 64 bits); with the bucket these give the n-gram back, so no two are ever taken for one. A bucket adds the
+counts up and answers each chunk, which then builds the part of the automaton that its texts can traverse. A chunk makes
+a request for each bucket in which it has n-grams, so work follows the number of n-grams.
 
 Defined results: null text is empty (the end token alone); rows where ``train`` is null are not learnt from;
-an empty training set gives N = V = 0 and score 0. Words are known by 64-bit hashes. Longer n-grams are known
-by as many bits as make a mistaken count about 2^-22 likely at any size (64 at most). A text and its chunk must
-fit in a task's memory.
+an empty training set gives N = V = 0 and score 0. Words of different chunks are known by 96-bit hashes (2^28 words
+hold two alike with a chance of 2^-41), longer n-grams exactly. A text and its chunk must fit in a task's memory.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from mirrorlake.deploy import ship
-from mirrorlake.llm.common import binary_values, release, saved
+from mirrorlake.llm.common import binary_values, release, saved, scratch
 
 #: Chosen by the likelihood of held-out documents of scale 0.1 among orders 2 to 4 and weights 1 to 16.
 MU = 16.0
@@ -109,7 +111,7 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 def encode(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token stream of some texts (for each a start mark, the words and the end token), its length for each text, and the hash of each token number."""
+    """Token stream of some texts (for each a start mark, the words and the end token), its length for each text, and the hash of each token number (64 bits and 32)."""
     ids: dict[bytes, int] = {}
     lengths, parts = [], []
     for text in texts:
@@ -120,9 +122,10 @@ def encode(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             row[1:-1] = [ids.setdefault(w, len(ids) + 2) for w in words]
         parts.append(row)
         lengths.append(len(row))
-    hashes = np.empty(len(ids) + 2, np.uint64)
-    hashes[:2] = _START, _END
-    hashes[2:] = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in ids), np.uint64, len(ids))
+    hashes = np.empty((len(ids) + 2, 2), np.uint64)
+    hashes[:2] = [[_START], [_END]]
+    hashes[2:] = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in ids), np.uint64).reshape(-1, 2)
+    hashes[:, 1] >>= np.uint64(32)
     return np.concatenate(parts) if parts else np.empty(0, np.int32), np.array(lengths, np.int64), hashes
 
 
@@ -138,32 +141,80 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Grams:
-    """``keys[k]``: the distinct (k+1)-grams of a chunk, as sorted hashes. ``at[k]`` has for each place of the stream the
-    index of the (k+1)-gram that ends there, -1 where it would reach over the start; ``where[k]`` a place of each."""
+    """``keys[k]``: the distinct (k+1)-grams of a chunk, as sorted pairs of the k-gram before and a token, in one number. ``at[k]``
+    has for each place of the stream the index of the (k+1)-gram that ends there, -1 where it would reach over the start;
+    ``where[k]`` a place of each. ``numbers`` are those of the tokens in the corpus, below 0 for a token of this chunk alone."""
 
-    def __init__(self, stream: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, order: int, bits: int):
-        self.stream, self.lengths, self.order = stream, lengths, order
+    def __init__(self, stream: np.ndarray, lengths: np.ndarray, numbers: np.ndarray, order: int, buckets: int):
+        self.stream, self.lengths, self.numbers, self.order, self.buckets = stream, lengths, numbers, order, buckets
         self.starts = np.cumsum(lengths) - lengths
         self.place = np.arange(len(stream)) - np.repeat(self.starts, lengths)
         self.keys, self.at, self.where = [], [], []
-        key = _mix(hashes)[stream]
         for k in range(order):
-            if k:
-                key = np.concatenate([np.zeros(min(1, len(key)), np.uint64), _mix(key[:-1] + np.uint64(k)) + hashes[stream[1:]]])
             used = np.flatnonzero(self.place >= k)
-            found, back, where = _distinct(key[used] >> np.uint64(64 - bits if k else 0))
+            key = stream[used].astype(np.int64)
+            if k:
+                key += self.at[-1][used - 1] * len(numbers)
+            found, back, where = _distinct(key)
             at = np.full(len(stream), -1, np.int64)
             at[used] = back
             self.keys.append(found)
             self.at.append(at)
             self.where.append(used[where])
 
+    def shared(self, k: int, space: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The (k+1)-grams, k > 0, that other chunks may hold too, by bucket and name: index, where each bucket begins, and names (``name_of``)."""
+        index = np.arange(len(self.keys[k]))
+        for j in range(k + 1):
+            index = index[self.numbers[self.stream[self.where[k][index] - j]] >= 0]
+        bucket, names = name_of([self.numbers[self.stream[self.where[k][index] - j]] for j in range(k, -1, -1)], space, self.buckets)
+        by = np.lexsort((*names[::-1], bucket))
+        return index[by], np.searchsorted(bucket[by], np.arange(self.buckets + 1)), [n[by] for n in names]
+
     def counts(self, training: np.ndarray) -> list[np.ndarray]:
         """How often each n-gram is in the training texts of the chunk."""
         weight = np.repeat(training, self.lengths).astype(np.float64)
         return [np.bincount(at[k:][at[k:] >= 0], weights=weight[k:][at[k:] >= 0], minlength=len(keys)).astype(np.int64) for k, (at, keys) in enumerate(zip(self.at, self.keys, strict=True))]
 
 
+def name_of(words: list[np.ndarray], space: int, buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bucket of each n-gram of word numbers below ``space``, and the numbers that tell it from all others of its bucket: one, or more if one would pass 64 bits."""
+    *before, last = [w.astype(np.uint64) for w in words]
+    mixed = np.zeros(len(last), np.uint64)
+    for w in before:
+        mixed = _mix(mixed + w + np.uint64(1))
+    n = np.uint64(buckets)
+    bucket = (mixed % n + last % n) % n  # with the words before, this gives the remainder of the last
+    names, room = [], 1 << 64
+    for w, radix in [*((w, space) for w in before), (last // n, -(-space // buckets))]:
+        if names and room * radix <= 1 << 64:
+            names[-1], room = names[-1] * np.uint64(radix) + w, room * radix
+        else:
+            names.append(w)
+            room = radix
+    return bucket.astype(np.int64), names
+
+
+def _names_blob(names: list[np.ndarray]) -> bytes:
+    return b"".join([*[x.tobytes() for x in names[1:]], _squeeze(names[0])])
+
+
+def _names_from(blob: bytes, n: int, parts: int) -> list[np.ndarray]:
+    cut = 8 * n * (parts - 1)
+    return [_unsqueeze(blob[cut:], n), *np.frombuffer(blob[:cut], np.uint64).reshape(parts - 1, n)]
+
+
+def _alike(names: list[np.ndarray]) -> np.ndarray:
+    """Names in several columns: a number for each row, the same for equal ones."""
+    by = np.lexsort(names[::-1])
+    new = np.zeros(len(by), bool)
+    for x in names:
+        new[1:] |= x[by][1:] != x[by][:-1]
+    back = np.empty(len(by), np.int64)
+    back[by] = np.cumsum(new)
+    return back
+
+
 def _cuts(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """Where each bucket begins among sorted keys of ``bits`` bits; buckets are ranges of equal width."""
     edge = [((b << bits) + buckets - 1) // buckets for b in range(buckets)]
@@ -283,7 +334,8 @@ class Automaton:
 
 # ---- the operator ----------------------------------------------------------------------------
 
-_BODY = T.StructType([T.StructField(n, T.LongType()) for n in ("chunk", "tokens")] + [T.StructField(n, T.BinaryType()) for n in ("stream", "lengths", "hashes", "training", "kept")])
+_BODY = T.StructType([T.StructField(n, T.LongType()) for n in ("chunk", "tokens")] + [T.StructField(n, T.BinaryType()) for n in ("stream", "lengths", "training", "kept", "hashes", "own")])
+_NUMBERED = T.StructType([T.StructField("chunk", T.LongType())] + [T.StructField(n, T.BinaryType()) for n in ("stream", "lengths", "training", "kept", "words", "numbers")])
 
 
 def _chunks(rows: DataFrame, kept: list[str], chunk_bytes: int) -> DataFrame:
@@ -297,7 +349,9 @@ def _chunks(rows: DataFrame, kept: list[str], chunk_bytes: int) -> DataFrame:
         with pa.ipc.new_stream(sink, carried.schema) as writer:
             writer.write_table(carried)
         training = np.array(table.column("_train").to_pylist(), np.uint8)
-        blobs = [pa.compress(stream.tobytes(), "zstd", asbytes=True), *(x.tobytes() for x in (lengths, hashes, training)), sink.getvalue().to_pybytes()]
+        own = np.bincount(stream, weights=np.repeat(training, lengths), minlength=len(hashes)).astype(np.int64)
+        blobs = [pa.compress(stream.tobytes(), "zstd", asbytes=True), lengths.tobytes(), training.tobytes(), sink.getvalue().to_pybytes()]
+        blobs += [hashes[:, 0].tobytes() + hashes[:, 1].astype("<u4").tobytes(), _pack(own)]
         chunk = (TaskContext.get().partitionId() << 32) + no
         return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(stream)]), *[pa.array([b], pa.binary()) for b in blobs]], _BODY.names)
 
@@ -322,6 +376,79 @@ def _chunks(rows: DataFrame, kept: list[str], chunk_bytes: int) -> DataFrame:
     return rows.mapInArrow(run, _BODY)
 
 
+def _sorted_words(hashes: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From a chunk's ``hashes``: the order of its tokens by hash, both parts of the hashes in that order, and where each bucket begins."""
+    n = len(hashes) // 12
+    high, low = np.frombuffer(hashes, np.uint64, n), np.frombuffer(hashes, "<u4", n, 8 * n)
+    high = _mix(high)
+    by = np.lexsort((low, high))
+    return by, high[by], low[by], _cuts(high[by], 64, buckets)
+
+
+def _word_answers(bodies: DataFrame, buckets: int) -> DataFrame:
+    """For each chunk and bucket: training counts of its words in all chunks, and 1 + their rank among the bucket's words that several chunks hold (else 0).
+
+    One row of each bucket has its tokens and words in training texts; ``space`` is above all numbers of its words.
+    """
+
+    def request(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                by, high, low, cuts = _sorted_words(row["hashes"], buckets)
+                own, out = _unpack(row["own"])[by], []
+                for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                    s = slice(cuts[b], cuts[b + 1])
+                    out.append((int(b), row["chunk"], int(s.stop - s.start), _squeeze(high[s]), low[s].tobytes(), _pack(own[s])))
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["bucket", "chunk", "n", "high", "low", "own"])
+
+    def answer(table):
+        n, bucket = table.column("n").to_pylist(), table.column("bucket")[0].as_py()
+        high = np.concatenate([_unsqueeze(h, k) for h, k in zip(table.column("high").to_pylist(), n, strict=True)])
+        low = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("low").to_pylist()])
+        back = _alike([high, low])
+        own = np.concatenate([_unpack(c) for c in table.column("own").to_pylist()])
+        sums = np.bincount(back, weights=own).astype(np.int64)
+        several = np.bincount(back) > 1
+        rank = np.where(several, np.cumsum(several), 0)
+        start = np.zeros(len(sums), bool)
+        start[back[(high == _mix(np.array([_START]))[0]) & (low == np.uint32(_START >> np.uint64(32)))]] = True
+        cuts = np.cumsum(n)[:-1]
+        first = [True] + [False] * (len(n) - 1)
+        totals = [int(sums[~start].sum()), int((sums[~start] > 0).sum()), int(several.sum()) * buckets + bucket + 1]
+        return pa.table(
+            {
+                "chunk": table.column("chunk"),
+                "bucket": table.column("bucket"),
+                **{c: pa.array([_pack(x) for x in np.split(values[back], cuts)], pa.binary()) for c, values in (("counts", sums), ("ranks", rank))},
+                **{c: pa.array([x if f else 0 for f in first], pa.int64()) for c, x in zip(("total", "distinct", "space"), totals, strict=True)},
+            }
+        )
+
+    requests = bodies.select("chunk", "hashes", "own").mapInArrow(request, "bucket int, chunk long, n long, high binary, low binary, own binary")
+    return requests.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, counts binary, ranks binary, total long, distinct long, space long")
+
+
+def _numbered(bodies: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+    """Chunks with their words' counts, and 1 + their numbers (0 where no other chunk holds the word)."""
+    empty = to_arrow_schema(_NUMBERED).empty_table()
+
+    def number(left, right):
+        if not left.num_rows:
+            return empty
+        row = left.to_pylist()[0]
+        by, _, _, cuts = _sorted_words(row["hashes"], buckets)
+        counts, numbers = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
+        for b, c, r in zip(*(right.column(x).to_pylist() for x in ("bucket", "counts", "ranks")), strict=True):
+            here, rank = by[cuts[b] : cuts[b + 1]], _unpack(r)
+            counts[here] = _unpack(c)
+            numbers[here] = np.where(rank > 0, (rank - 1) * buckets + b + 1, 0)
+        blobs = [row[c] for c in ("stream", "lengths", "training", "kept")] + [_pack(counts), _pack(numbers)]
+        return pa.table([pa.array([row["chunk"]]), *[pa.array([x], pa.binary()) for x in blobs]], names=_NUMBERED.names)
+
+    return bodies.drop("tokens", "own").groupBy("chunk").cogroup(words.select("chunk", "bucket", "counts", "ranks").groupBy("chunk")).applyInArrow(number, _NUMBERED)
+
+
 def score(
     docs: DataFrame,
     *,
@@ -341,78 +468,74 @@ def score(
     keep = docs.columns if keep is None else keep
     kept = [f"_k{i}" for i in range(len(keep))]
     rows = docs.select(F.coalesce(train, F.lit(False)).alias("_train"), F.col(text_col).alias("_text"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
-    bodies = saved(_chunks(rows, kept, chunk_bytes), "lm-chunks")
-    tokens = bodies.agg(F.sum("tokens")).first()[0] or 0
-    bits = min(64, max(40, (order * tokens).bit_length() + 22))
-    buckets = max(LEAST, -(-2 * tokens // bucket_keys))
+    with scratch(spark) as stays:
+        bodies = saved(_chunks(rows, kept, chunk_bytes), "lm-chunks")
+        tokens = bodies.agg(F.sum("tokens")).first()[0] or 0
+        buckets = max(LEAST, -(-2 * tokens // bucket_keys))
+        words = saved(_word_answers(bodies, max(LEAST, -(-tokens // bucket_keys))), "lm-words")
+        total, distinct, space = words.agg(F.sum("total"), F.sum("distinct"), F.max("space")).first()
+        total, distinct, space = total or 0, distinct or 0, space or 1
+        bodies = stays(saved(_numbered(bodies, words, max(LEAST, -(-tokens // bucket_keys))), "lm-numbered"))
 
     def grams_of(row: dict) -> Grams:
-        lengths, hashes = np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["hashes"], np.uint64)
+        lengths, numbers = np.frombuffer(row["lengths"], np.int64), _unpack(row["numbers"]) - 1
         stream = np.frombuffer(pa.decompress(row["stream"], 4 * int(lengths.sum()), "zstd", asbytes=True), np.int32)
-        return Grams(stream, lengths, hashes, order, bits)
-
-    def cuts_of(grams: Grams) -> np.ndarray:
-        return np.stack([_cuts(k, bits if i else 64, buckets) for i, k in enumerate(grams.keys)])
+        return Grams(stream, lengths, numbers, order, buckets)
 
     def request(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 grams = grams_of(row)
-                counts, cuts = grams.counts(np.frombuffer(row["training"], np.uint8)), cuts_of(grams)
+                counts = grams.counts(np.frombuffer(row["training"], np.uint8))
+                found = [grams.shared(k, space) for k in range(1, order)]
                 out = []
-                for b in np.flatnonzero((cuts[:, 1:] > cuts[:, :-1]).any(0)):
-                    parts = [slice(i, j) for i, j in zip(cuts[:, b], cuts[:, b + 1], strict=True)]
-                    out.append((int(b), row["chunk"], [int(s.stop - s.start) for s in parts], [_squeeze(k[s]) for k, s in zip(grams.keys, parts, strict=True)], _pack(np.concatenate([c[s] for c, s in zip(counts, parts, strict=True)]))))
-                del grams, counts
-                kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["bucket", "chunk", "sizes", "keys", "counts"])
+                for b in np.flatnonzero(np.any([cuts[1:] > cuts[:-1] for _, cuts, _ in found], axis=0)) if found else ():
+                    parts = [slice(cuts[b], cuts[b + 1]) for _, cuts, _ in found]
+                    blobs = [_names_blob([x[s] for x in names]) for s, (_, _, names) in zip(parts, found, strict=True)]
+                    own = np.concatenate([c[index[s]] for c, s, (index, _, _) in zip(counts[1:], parts, found, strict=True)])
+                    out.append((int(b), row["chunk"], [int(s.stop - s.start) for s in parts], [len(names) for _, _, names in found], blobs, _pack(own)))
+                del grams, counts, found
+                kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["bucket", "chunk", "sizes", "parts", "names", "counts"])
 
     def answer(table):
         n = table.num_rows
-        sizes = np.array(table.column("sizes").to_pylist()).reshape(n, order)
+        sizes = np.array(table.column("sizes").to_pylist()).reshape(n, order - 1)
+        parts = table.column("parts")[0].as_py()
         counts = [_unpack(c) for c in table.column("counts").to_pylist()]
-        blobs = table.column("keys").to_pylist()
-        replies = [[None] * order for _ in range(n)]
-        total = distinct = 0
-        for k in range(order):
+        blobs = table.column("names").to_pylist()
+        replies = [[None] * (order - 1) for _ in range(n)]
+        for k in range(order - 1):
             before = sizes[:, :k].sum(1)
-            found, back, _ = _distinct(np.concatenate([_unsqueeze(b[k], s) for b, s in zip(blobs, sizes[:, k].tolist(), strict=True)]))
+            names = [_names_from(b[k], s, parts[k]) for b, s in zip(blobs, sizes[:, k].tolist(), strict=True)]
+            names = [np.concatenate(x) for x in zip(*names, strict=True)]
+            back = _distinct(names[0])[1] if len(names) == 1 else _alike(names)
             mine = np.concatenate([c[f : f + s] for c, f, s in zip(counts, before, sizes[:, k], strict=True)])
-            sums = np.bincount(back, weights=mine, minlength=len(found)).astype(np.int64)
-            if k == 0:
-                words = sums[found != _mix(np.array([_START]))[0]]
-                total, distinct = int(words.sum()), int((words > 0).sum())
+            sums = np.bincount(back, weights=mine).astype(np.int64)
             for i, part in enumerate(np.split(sums[back], np.cumsum(sizes[:, k])[:-1])):
                 replies[i][k] = part
-        return pa.table(
-            {
-                "chunk": table.column("chunk"),
-                "bucket": table.column("bucket"),
-                "counts": pa.array([_pack(np.concatenate(r)) for r in replies], pa.binary()),
-                "total": pa.array([total] + [0] * (n - 1), pa.int64()),
-                "distinct": pa.array([distinct] + [0] * (n - 1), pa.int64()),
-            }
-        )
+        blobs = [_pack(np.concatenate(r)) for r in replies]
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "counts": pa.array(blobs, pa.binary())})
 
-    requests = bodies.select("chunk", "stream", "lengths", "hashes", "training").mapInArrow(request, "bucket int, chunk long, sizes array<long>, keys array<binary>, counts binary")
-    answers = saved(requests.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, counts binary, total long, distinct long"), "lm-counts")
+    requests = bodies.select("chunk", "stream", "lengths", "training", "numbers").mapInArrow(request, "bucket int, chunk long, sizes array<long>, parts array<long>, names array<binary>, counts binary")
+    answers = saved(requests.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, counts binary"), "lm-counts")
     release(spark)  # the requests' shuffle files
-    total, distinct = answers.agg(F.sum("total"), F.sum("distinct")).first()
-    total, distinct = total or 0, distinct or 0
 
     def finish(left, right):
         if not left.num_rows:
             return empty
         row = left.to_pylist()[0]
         grams = grams_of(row)
-        cuts = cuts_of(grams)
-        counts = [np.zeros(len(k), np.int64) for k in grams.keys]
-        for b, blob in zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True):
-            found, at = _unpack(blob), 0
-            for k in range(order):
-                i, j = cuts[k, b], cuts[k, b + 1]
-                counts[k][i:j] = found[at : at + j - i]
-                at += j - i
+        counts = grams.counts(np.frombuffer(row["training"], np.uint8))
+        counts[0] = _unpack(row["words"])
+        replies = {b: _unpack(c) for b, c in zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True)}
+        read = dict.fromkeys(replies, 0)
+        for k in range(1, order):
+            index, cuts, _ = grams.shared(k, space)
+            for b, found in replies.items():
+                here = index[cuts[b] : cuts[b + 1]]
+                counts[k][here] = found[read[b] : read[b] + len(here)]
+                read[b] += len(here)
         c = counts[0][grams.at[0]]
         scored = grams.place > 0
         add = lambda x: np.add.reduceat(x, grams.starts)
@@ -427,6 +550,6 @@ def score(
     new_fields = [T.StructField(n, T.LongType()) for n in names[-5:-2]] + [T.StructField(n, T.DoubleType()) for n in names[-2:]]
     schema = T.StructType([rows.schema[c] for c in kept] + new_fields)
     empty = to_arrow_schema(schema).empty_table()
-    out = bodies.drop("training", "tokens").groupBy("chunk").cogroup(answers.select("chunk", "bucket", "counts").groupBy("chunk")).applyInArrow(finish, schema)
+    out = bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
     ours = set(names[-5:])
     return out.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True) if c not in ours], *names[-5:])

@@ -115,3 +115,30 @@ def test_keys_survive_the_shuffle():
         for k in keys.tolist():
             want[k * 7 >> bits].append(k)
         assert [keys[i:j].tolist() for i, j in zip(cuts, cuts[1:], strict=False)] == [want[b] for b in range(7)]
+
+
+def test_ngrams_with_hashes_alike_are_counted_apart(spark):
+    # of these pairs, the first 40 bits of a hash that named n-grams are alike
+    one, other = ("w129", "w1978"), ("w33", "w148")
+    texts = [[*one], [*one], [*other], [other[0], one[1]], [one[0], other[1]]]
+    _, score, _ = plain_model(texts[:2], 3, 4.0)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    for chunk in (8 << 20, 1):
+        for r in lm.score(df, train=F.col("doc_id") < 2, mu=4.0, chunk_bytes=chunk).collect():
+            assert math.isclose(r.score, score(r.text.split()), rel_tol=1e-9), r.text
+
+
+@pytest.mark.parametrize("space", [9, 1 << 21, 1 << 31, 1 << 40])
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_names_of_ngrams_tell_all_apart(space, order):
+    rng = np.random.default_rng(order)
+    near = rng.integers(0, 4, (3000, order)) + (rng.integers(0, 2, (3000, order)) * (space - 4))
+    grams = np.unique(np.concatenate([near, rng.integers(0, space, (3000, order))]), axis=0)
+    bucket, names = lm.name_of(list(grams.T), space, 7)
+    assert len({*zip(bucket.tolist(), *(x.tolist() for x in names), strict=True)}) == len(grams)
+    by = np.lexsort((*names[::-1], bucket))
+    names = [x[by][bucket[by] == 3] for x in names]
+    got = lm._names_from(lm._names_blob(names), len(names[0]), len(names))
+    assert all((x == y).all() for x, y in zip(names, got, strict=True))
+    back = lm._alike([np.concatenate([x, x]) for x in names])
+    assert len(set(back.tolist())) == len(names[0]) and (back[: len(names[0])] == back[len(names[0]) :]).all()
