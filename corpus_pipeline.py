@@ -29,8 +29,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
-    return simhash.keep_one(docs, find=simhash.similar)
+    """One document of each group of near-duplicates: fingerprints within 3 bits, as op8_simhash links them, or five-word shingles at similarity 0.8."""
+    return simhash.keep_one(docs, find=simhash.similar, radius=simhash.RADIUS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

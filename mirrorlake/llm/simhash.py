@@ -31,6 +31,8 @@ of the smaller sets that may be similar. Candidates that a bound by parity bitma
 none) are decided by the Jaccard similarity of their sets, so every link is a true one. Pairs are tried in two rounds:
 a spanning forest of the possible pairs of each list (or pair of blocks of a long one); then, in the lists where
 one of these was refuted, all possible pairs of different components.
+With a ``radius``, the texts whose fingerprints are within so many bits are linked first, as ``near_duplicates`` does; then
+the sets bring the links of similar texts whose fingerprints are further apart, and only pairs not yet joined are tried.
 A set is known by a 64-bit hash; a similar pair is missed only if more than 16 shingles of a set fall on fewer
 than d + 1 partitions (below 1e-11 for a set).
 
@@ -693,8 +695,23 @@ def _decided(pairs: DataFrame, named: DataFrame, docs: DataFrame, text_col: str,
     return saved(pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(decide, "a long, b long"), "near")
 
 
-def similar_links(entries: DataFrame, named: DataFrame, docs: DataFrame, *, text_col: str, k: int, similarity: float, block: int = WIDE_BLOCK) -> DataFrame:
-    """Links (a, b) between nodes; transitively, all pairs whose shingle sets are at ``similarity``, and no others."""
+def marked_links(fps: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) between the nodes of rows whose fingerprints ``mark`` are within ``radius`` of each other, transitively."""
+
+    def named(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node_of(batch.column("fp").to_numpy()))], ["fp", "mark"])
+
+    marks = saved(fps.select(F.col("mark").alias("fp")).distinct().mapInArrow(named, "fp long, mark long"), "marks")
+    roots = components(near_links(marks, radius=radius)).withColumnRenamed("node", "mark")
+    roots = saved(marks.join(roots, "mark", "left").select(F.col("fp").alias("mark"), F.coalesce("root", "mark").alias("root")), "roots")
+    rooted = saved(fps.select("node", "mark").distinct().join(roots, "mark").select("node", "root"), "rooted")
+    hubs = saved(rooted.groupBy("root").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub <> most").select("root", "hub"), "hubs")
+    return saved(rooted.join(hubs, "root").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "marked")
+
+
+def similar_links(entries: DataFrame, named: DataFrame, docs: DataFrame, *, text_col: str, k: int, similarity: float, block: int = WIDE_BLOCK, linked: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between nodes; transitively, all pairs whose shingle sets are at ``similarity``, and no others but those of ``linked``."""
     lists = saved(_shared(entries, similarity), "lists")
     release(docs.sparkSession)  # the entries' shuffle files, the largest of all
     keys = ["value", "lo", "hi"]
@@ -704,16 +721,20 @@ def similar_links(entries: DataFrame, named: DataFrame, docs: DataFrame, *, text
         dealt = _dealt(rows, _large(rows, block), "node")
         return _block_pairs(dealt.repartition(*keys).sortWithinPartitions(*keys), similarity, forest)
 
-    first = saved(tried(lists.withColumn("root", F.col("node")), True), "pairs")
+    def under(rows, links):
+        return rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    first = saved(tried(under(lists, linked) if linked is not None else lists.withColumn("root", F.col("node")), True), "pairs")
     links = _decided(first.select("a", "b").distinct(), named, docs, text_col, k, similarity)
     refuted = saved(first.join(links, ["a", "b"], "left_anti").select("value").distinct(), "refuted")  # only these lists can hold more links
-    rest = lists.join(refuted, "value", "left_semi").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = links if linked is None else links.unionByName(linked)
+    rest = under(lists.join(refuted, "value", "left_semi"), links)
     more = tried(rest, False).select("a", "b").distinct().join(first.select("a", "b").distinct(), ["a", "b"], "left_anti")
     return links.unionByName(_decided(saved(more, "pairs"), named, docs, text_col, k, similarity))
 
 
-def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, carry: tuple[str, ...] = (), **options) -> DataFrame:
-    """id, fp (the parity bitmap) and component_id, as ``near_duplicates``, by similarity of shingle sets."""
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int | None = None, carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """id, fp (the parity bitmap) and component_id, as ``near_duplicates``, by similarity of shingle sets; with ``radius``, by fingerprints within it, too."""
     docs = ship(docs.sparkSession) and docs.select(id_col, text_col, *carry)
 
     def run(batches):
@@ -723,14 +744,17 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 s = shingle_set(t, k)
                 rows.append((parity(s), set_node(s), len(s), s.tobytes() if 0 < similarity * len(s) - _EPS <= SHORT else None))
             made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *made], [id_col, *carry, "source", "fp", "node", "n", "short"])
+            marks = None if radius is None else np.fromiter(map(fingerprint, binary_values(batch.column(1))), np.uint64, batch.num_rows).view(np.int64)
+            made.append(pa.nulls(batch.num_rows, pa.int64()) if radius is None else pa.array(marks))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *made], [id_col, *carry, "source", "fp", "node", "n", "short", "mark"])
 
-    kinds = {"source": T.StringType(), "fp": T.BinaryType(), "node": T.LongType(), "n": T.IntegerType(), "short": T.BinaryType()}
+    kinds = {"source": T.StringType(), "fp": T.BinaryType(), "node": T.LongType(), "n": T.IntegerType(), "short": T.BinaryType(), "mark": T.LongType()}
     schema = T.StructType([*[docs.schema[c] for c in (id_col, *carry)], *[T.StructField(c, t) for c, t in kinds.items()]])
     fps = saved(docs.withColumn("source", F.md5(F.col(text_col))).mapInArrow(run, schema), "fingerprints")
     named = saved(fps.groupBy("node").agg(F.min(id_col).alias("least"), F.min("source").alias("source"), F.first("fp").alias("fp"), F.first("n").alias("n")), "distinct")
+    linked = None if radius is None else marked_links(fps, radius)
     entries = _entries_of_sets(docs, text_col, k, similarity, _short_counts(fps))
-    found = components(similar_links(entries, named, docs, text_col=text_col, k=k, similarity=similarity, **options))
+    found = components(similar_links(entries, named, docs, text_col=text_col, k=k, similarity=similarity, linked=linked, **options))
     return _named_components(fps.select(id_col, "fp", "node", *carry), named.select("node", "least"), found, id_col, carry=carry)
 
 

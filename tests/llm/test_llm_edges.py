@@ -325,6 +325,26 @@ def test_similar_is_exact_on_short_and_long_texts(spark):
         assert [of[i] for i in range(len(texts))] == label
 
 
+def test_pipeline_links_by_fingerprints_and_by_similarity(spark, data):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(5000)}"
+    texts = []
+    for i in range(300):
+        base = [word() for _ in range(300)]
+        copy = list(base)
+        for at in range(0, 300, 300 // (7 if i % 2 else 4)):  # a similarity of 0.75 to 0.79 or above 0.8
+            copy[at] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    fps, sets = [simhash.fingerprint(t.encode()) for t in texts], [shingle_set(t) for t in texts]
+    pairs = [(i, (fps[i] ^ fps[i + 1]).bit_count() <= 3, len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])) for i in range(0, 600, 2)]
+    assert {p[1:] for p in pairs} == {(True, False), (False, True), (True, True), (False, False)}
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in corpus_pipeline.dedup_stage(spark, docs, data).collect()}
+    assert kept == set(range(600)) - {i + 1 for i, near, alike in pairs if near or alike}
+
+
 @pytest.mark.parametrize("find", [simhash.near_duplicates, simhash.similar])
 def test_one_row_of_each_component_stays(spark, find):
     a, b, c, d = ("alpha one two three four five six", "bravo seven eight nine ten eleven twelve", "charlie red green blue cyan pink grey", "delta north south east west up down")
