@@ -26,6 +26,8 @@ from mirrorlake.deploy import ship
 _own_dir: list[str] = []
 #: Paths of the work tables written since each scratch() began.
 _scratch: list[list[str]] = []
+#: Numbers of a vector in one row, so that no buffer between tasks and driver holds a long vector whole; numbers that the driver adds up itself.
+PIECE, HELD = 1 << 15, 1 << 18
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -110,29 +112,40 @@ def binary_values(column: pa.Array) -> Iterator[bytes | None]:
         yield value.as_py()
 
 
-def tree_sum(parts: DataFrame, fan_in: int = 8) -> np.ndarray | None:
-    """Sum float64 vectors held as bytes in the one column ``blob``.
+def _pieces(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["at", "blob"])
+
+
+def tree_sum(parts: DataFrame, size: int, fan_in: int = 8) -> np.ndarray | None:
+    """Sum float64 vectors of ``size`` numbers held as rows (``at``, ``blob``): the bytes of those from place ``at`` on.
 
     Every task hands in one vector. They are added up in rounds of about
-    ``fan_in`` vectors a task, so the driver receives at most ``fan_in``.
-    None when there is no vector.
+    ``fan_in`` vectors a task, so the driver receives at most ``fan_in``, and a
+    single one of those so long that fewer than two are ``HELD`` numbers. None when there is no vector.
     """
 
     def add(batches):
-        total = None
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for value in batch.column(0):
+            for at, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x = np.frombuffer(value.as_py())
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["blob"])
+                if at in total:
+                    total[at] += x
+                else:
+                    total[at] = x.copy()
+        if total:
+            yield _pieces(total)
 
     n = parts.rdd.getNumPartitions()
-    while n > fan_in:
+    while n > min(fan_in, max(1, HELD // size)):
         n = -(-n // fan_in)
-        parts = parts.repartition(n).mapInArrow(add, "blob binary")
-    rows = parts.collect()
-    return np.sum([np.frombuffer(bytes(r[0])) for r in rows], axis=0) if rows else None
+        parts = parts.repartition(n).mapInArrow(add, "at int, blob binary")
+    total = None
+    for at, blob in parts.collect():
+        total = np.zeros(size) if total is None else total
+        x = np.frombuffer(bytes(blob))
+        total[at : at + len(x)] += x
+    return total
 
 
 def per_task_vector(df: DataFrame, size: int, add: Callable[[np.ndarray, pa.RecordBatch], None]) -> np.ndarray | None:
@@ -146,6 +159,6 @@ def per_task_vector(df: DataFrame, size: int, add: Callable[[np.ndarray, pa.Reco
                 some = True
                 add(total, batch)
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["blob"])
+            yield _pieces({at: total[at : at + PIECE] for at in range(0, size, PIECE)})
 
-    return tree_sum(df.mapInArrow(fold, "blob binary"))
+    return tree_sum(df.mapInArrow(fold, "at int, blob binary"), size)

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mirrorlake.llm import langid, quality, topk, warc
+from mirrorlake.llm.common import per_task_vector
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ROOT = Path(__file__).resolve().parents[2]
@@ -169,3 +170,32 @@ print("found", {{}})
     env |= {k: v for k, v in os.environ.items() if k in ("JAVA_HOME", "HOME", "SPARK_LOCAL_IP", "PATH")}
     done = subprocess.run([sys.executable, "-c", script], env=env, cwd="/tmp", capture_output=True, text=True, timeout=300)
     assert "found 2 3 3 3 3" in done.stdout, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("tasks", [3, 8, 70])
+def test_the_driver_gets_one_long_vector_in_small_rows(spark, monkeypatch, tasks):
+    kind, size, got = type(spark.range(0)), 1 << 20, []
+    collect = kind.collect
+
+    def add(total, batch):
+        total[batch.column(0).to_numpy()] += 1
+        total[-1] += batch.num_rows
+
+    def collected(self):
+        got.extend(rows := collect(self))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", collected)
+    found = per_task_vector(spark.range(0, 1000, 1, tasks), size, add)
+    assert found.nonzero()[0].tolist() == [*range(1000), size - 1] and found[:1000].max() == 1 and found[-1] == 1000
+    blobs = [len(r.blob) for r in got]
+    assert sum(blobs) == 8 * size and max(blobs) <= 1 << 18  # before, up to eight vectors, each in one row of 8 MB
+
+
+@pytest.mark.parametrize("size", [1, 33, 1 << 15, (1 << 16) + 5])
+def test_vectors_of_any_length_are_summed(spark, size):
+    def add(total, batch):
+        total += batch.column(0).to_numpy().sum() * np.arange(1, size + 1)
+
+    assert (per_task_vector(spark.range(0, 500, 1, 19), size, add) == 499 * 250.0 * np.arange(1, size + 1)).all()
+    assert per_task_vector(spark.range(0), size, add) is None
